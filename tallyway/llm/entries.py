@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyway.llm import weak_rules
+from tallyway.llm import dart_minhash, secret_scan, weak_rules
 from tallyway.llm.tables import load
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(load(spark, sf_dir, "documents"))
+
+
 def op7_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return weak_rules.quality_rules(docs).select(
@@ -18,8 +22,14 @@ def op7_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secret_scan": op5_secret_scan,
     "op7_weak_rules": op7_weak_rules,
+    "op9_dart_minhash": op9_dart_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
