@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyway.llm import dart_minhash, secret_scan, weak_rules
+from tallyway.llm import dart_minhash, packing, secret_scan, token_files, weak_rules
 from tallyway.llm.tables import load
 
 
+#: The vocabulary that the token queries use; operators take any path.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(load(spark, sf_dir, "documents"))
 
@@ -26,10 +36,16 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.classes(load(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(spark, load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op5_secret_scan": op5_secret_scan,
     "op7_weak_rules": op7_weak_rules,
     "op9_dart_minhash": op9_dart_minhash,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
