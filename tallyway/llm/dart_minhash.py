@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyway.llm.components import components
-from tallyway.llm.tables import cut, let, small
+from tallyway.llm.tables import cut, fresh, let, small
 from tallyway.llm.text import window_hashes, word_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
+#: Times that what can't match is taken out, each with fewer shingles left to share.
+NARROWINGS = 3
 #: Darts expected beyond k ln k, as a multiple of k: so few sketches need a second, longer throw.
 EXTRA = 3.0
 #: Darts held at once while a batch is sketched.
@@ -150,20 +152,52 @@ def shingled(docs: DataFrame, *keep: str) -> DataFrame:
     return made.select("doc_id", *keep, "s.key", "s.elements", F.lit(None).cast("array<double>").alias("weights"))
 
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Of ``pairs(a, b)``, those whose shingle sets have a Jaccard similarity of ``least`` or more, checked exactly.
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and its shingles, made again from the texts of ``wanted(node, key)`` alone."""
+    texts = docs.select("doc_id", "text").join(small(wanted.select("node", F.col("key").alias("wanted"))), F.col("doc_id") == F.col("node"))
+    return shingled(texts, "wanted").filter("key = wanted").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "elements")
 
-    Shingles are made again from the texts of the documents that occur in a pair, and only of those.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("key").alias("wanted")), "node")
-    texts = docs.select("doc_id", "text").join(small(cut(wanted)), F.col("doc_id") == F.col("node"))
-    sets = cut(shingled(texts, "wanted").filter("key = wanted").dropDuplicates(["doc_id"]).select("doc_id", "elements"))
-    a, b = (sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"{c}_set")) for c in ("a", "b"))
+
+def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Of ``pairs(a, b)``, those whose shingle sets have a Jaccard similarity of ``least`` or more, checked exactly."""
+    a, b = (sets.select(F.col("node").alias(c), F.col("elements").alias(f"{c}_set")) for c in ("a", "b"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", shared.alias("shared"), (F.size("a_set") + F.size("b_set")).alias("total"))
     return both.filter(F.col("shared") >= least * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def remaining(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs of ``open_(bucket, node, label)`` in one bucket, of different labels, that can still be similar.
+
+    A shingle that one open node alone has is in no overlap. So a pair shares at most the smaller number of other
+    shingles, and its similarity is bounded by sizes alone; that settles nearly all pairs of a large group of loose copies
+    without looking at their sets. What can't match even the smallest set of a bucket leaves it first.
+    """
+    share = least / (1 + least)  # of both sizes together, that the overlap must reach
+    left = open_
+    for _ in range(NARROWINGS):
+        held = sets.join(left.select("node").distinct(), "node", "left_semi")
+        alone = held.select("node", F.explode("elements").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+        own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        sized = held.select("node", F.size("elements").alias("size")).join(own, "node", "left")
+        able = cut(sized.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("able")))
+        placed = left.select("bucket", "node", "label").join(able, "node")
+        bounds = placed.groupBy("bucket").agg(F.min("size").alias("smallest"), F.max("able").alias("ablest"))
+        needed = share * (F.col("size") + F.col("smallest"))
+        fits = (F.col("able") >= needed) & (F.col("ablest") >= needed)
+        kept = placed.join(bounds, "bucket").filter(fits).drop("smallest", "ablest")
+        mixed = kept.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
+        left = cut(kept.join(mixed, "bucket"))
+    # Of the buckets a pair shares, only the first brings it out.
+    shelves = left.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("all"))
+    sided = cut(left.join(shelves, "node"))
+    a, b = (sided.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "size", "able", "all")]) for x in ("a", "b"))
+    fits = F.least("a_able", "b_able") >= share * (F.col("a_size") + F.col("b_size"))
+    first = F.array_intersect("a_all", "b_all")[0] == a["bucket"]
+    met = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a_label") < F.col("b_label")) & fits & first)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id and class_id, the smallest doc_id of its class.
 
@@ -178,19 +212,36 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     members = first.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = cut(members.join(buckets, "bucket"))
-    stars = cut(met.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    linked = cut(similar(docs, nodes, stars, least))
+    sets = cut(sets_of(docs, met.select("node").distinct().join(nodes, "node")))
+    stars = met.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    linked = cut(similar(sets, stars, least))
     label = components(linked)
 
     # What a star leaves open: pairs in one bucket that are in different classes and weren't compared.
     marked = met.join(label, "node", "left").select("bucket", "node", "leader", F.coalesce("label", "node").alias("label"))
     mixed = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
     open_ = cut(marked.join(mixed, "bucket").filter("node != leader").select("bucket", "node", "label"))
-    a, b = (open_.select("bucket", F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("a", "b"))
-    rest = cut(a.join(b, "bucket").filter("a_label < b_label").select("a", "b").distinct())
-    label = components(linked.union(similar(docs, nodes, rest, least)))
+    rest = cut(remaining(open_, sets, least))
+    label = components(linked.union(similar(sets, rest, least)))
 
     named = nodes.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     return found.select("doc_id", "key").join(named, "key", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("class_id")
     )
+
+
+def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose class has a smaller doc_id, and without repeats of a row.
+
+    Texts without words and rows without a doc_id stay.
+    """
+    found = cut(classes(docs, least))
+    copies = found.filter("doc_id <> class_id").select("doc_id").distinct()
+    left = docs.join(small(cut(copies)), "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return left
+    again = small(repeated)
+    key = fresh(docs, "text_key")
+    same = left.join(again, "doc_id", "left_semi").withColumn(key, F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", key])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(same.select(*docs.columns))
