@@ -49,11 +49,11 @@ def ring_area_m2(ring: Column) -> Column:
     """Area of the first ring (array of structs lon, lat), closed or not."""
     n = F.size(ring)
     k = F.cos(F.radians(ring[0]["lat"])) * M_PER_DEG_LAT
-    cross = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: ring[i]["lon"] * k * ring[(i + 1) % n]["lat"] * M_PER_DEG_LAT - ring[(i + 1) % n]["lon"] * k * ring[i]["lat"] * M_PER_DEG_LAT,
-    )
-    return F.when(n >= 3, F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) * 0.5).otherwise(0.0)
+    # From the first corner on: products of whole coordinates would eat up the digits.
+    x = lambda i: (ring[i]["lon"] - ring[0]["lon"]) * k
+    y = lambda i: (ring[i]["lat"] - ring[0]["lat"]) * M_PER_DEG_LAT
+    cross = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: x(i) * y((i + 1) % n) - x((i + 1) % n) * y(i))
+    return F.when(n >= 3, F.abs(F.aggregate(cross, F.lit(0.0), lambda a, c: a + c)) * 0.5).otherwise(0.0)
 
 
 def middle_vertex(line: Column) -> Column:
