@@ -97,6 +97,16 @@ def sums_by(docs: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.
     return names, [np.bincount(at, v, len(names)) for v in values]
 
 
+def sums_home(docs: np.ndarray, values: np.ndarray, scored: np.ndarray, parts: int) -> Iterator[dict]:
+    """Sums by document, packed for the partition that is the document's home."""
+    names, (sums, counts) = sums_by(docs, values, scored)
+    home = part_of(names.view(np.uint64), parts)
+    order = np.argsort(home, kind="stable")
+    names, both, home = names[order], np.stack([sums, counts], 1)[order], home[order]
+    for a, k in zip(*runs(home), strict=True):
+        yield packed(int(home[a]), SUMS, names[a : a + k], np.full(k, 1), both[a : a + k])
+
+
 #: Stands for a null doc_id while packed.
 NO_ID = np.iinfo(np.int64).min
 
@@ -164,12 +174,9 @@ def score(docs: DataFrame) -> DataFrame:
             known, is_hot = lookup(hot_codes, hot_counts, v)
             value = np.where(hit, logs[at], np.log(BACKOFF) + np.log(np.maximum(known, 1)) - np.log(tokens))
             done = hit | is_hot
-            names, (sums, scored) = sums_by(docs_[done], value[done], np.ones(int(done.sum())))
-            if len(names):
-                home = part_of(names.view(np.uint64), parts)
-                both = np.stack([sums, scored], 1)
-                order = np.argsort(home, kind="stable")
-                yield pa.RecordBatch.from_pylist([packed(int(home[order[a]]), SUMS, names[order[a : a + k]], np.full(k, 1), both[order[a : a + k]]) for a, k in zip(*runs(home[order]), strict=True)], MOVED)
+            summed = list(sums_home(docs_[done], value[done], np.ones(int(done.sum())), parts))
+            if summed:
+                yield pa.RecordBatch.from_pylist(summed, MOVED)
             left, doc = v[~done], docs_[~done]
             order = np.argsort(doc, kind="stable")
             left, doc = left[order], doc[order]
@@ -207,16 +214,20 @@ def score(docs: DataFrame) -> DataFrame:
                     values.append(both[:, 0])
                     scored.append(both[:, 1])
             if docs_:
-                names, (sums, counts_) = sums_by(np.concatenate(docs_), np.concatenate(values), np.concatenate(scored))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, mask=names == NO_ID), pa.array(counts_.astype(np.int64)), pa.array(sums)], ["doc_id", "n_scored", "log_score"]
-                )
+                yield pa.RecordBatch.from_pylist(list(sums_home(np.concatenate(docs_), np.concatenate(values), np.concatenate(scored), parts)), MOVED)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches):
+            both = np.concatenate([np.frombuffer(r["grams"], np.float64).reshape(-1, 2) for r in rows])
+            names, (sums, counts_) = sums_by(np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows]), both[:, 0], both[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, mask=names == NO_ID), pa.array(counts_.astype(np.int64)), pa.array(sums)], ["doc_id", "n_scored", "log_score"])
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = max(1, min(width, parts)) if parts < width else width
     moved = texts.mapInArrow(bigrams, MOVED_SQL).repartition(width, "part").sortWithinPartitions("part").mapInArrow(answered, MOVED_SQL)
     table = counts.mapInArrow(tabled, MOVED_SQL)
-    parts_ = moved.unionByName(table).repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(finished, "doc_id long, n_scored long, log_score double")
+    sent = moved.unionByName(table).repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(finished, MOVED_SQL)
+    parts_ = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(home, "doc_id long, n_scored long, log_score double")
     scored = parts_.unionByName(docs.select("doc_id", F.lit(0).cast("bigint").alias("n_scored"), F.lit(0.0).alias("log_score")))
     total = scored.groupBy("doc_id").agg(F.sum("n_scored").alias("n_scored"), F.sum("log_score").alias("log_score"))
     return total.withColumn("mean_log_score", F.when(F.col("n_scored") > 0, F.col("log_score") / F.col("n_scored")))
