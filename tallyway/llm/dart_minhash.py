@@ -171,7 +171,7 @@ def remaining(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     A shingle that one open node alone has is in no overlap. So a pair shares at most the smaller number of other
     shingles, and its similarity is bounded by sizes alone; that settles nearly all pairs of a large group of loose copies
-    without looking at their sets. What can't match even the smallest set of a bucket leaves it first.
+    without looking at their sets. What can't match any set, or not even the smallest of a bucket, leaves it first.
     """
     share = least / (1 + least)  # of both sizes together, that the overlap must reach
     left = open_
@@ -180,7 +180,7 @@ def remaining(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         alone = held.select("node", F.explode("elements").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
         own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
         sized = held.select("node", F.size("elements").alias("size")).join(own, "node", "left")
-        able = cut(sized.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("able")))
+        able = cut(sized.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("able")).filter(F.col("able") >= least * F.col("size")))
         placed = left.select("bucket", "node", "label").join(able, "node")
         bounds = placed.groupBy("bucket").agg(F.min("size").alias("smallest"), F.max("able").alias("ablest"))
         needed = share * (F.col("size") + F.col("smallest"))
