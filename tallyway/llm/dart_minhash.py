@@ -181,13 +181,13 @@ def remaining(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
         sized = held.select("node", F.size("elements").alias("size")).join(own, "node", "left")
         able = cut(sized.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("able")).filter(F.col("able") >= least * F.col("size")))
-        placed = left.select("bucket", "node", "label").join(able, "node")
-        bounds = placed.groupBy("bucket").agg(F.min("size").alias("smallest"), F.max("able").alias("ablest"))
+        placed = cut(left.select("bucket", "node", "label").join(able, "node"))
+        bounds = placed.groupBy("bucket").agg(
+            F.min("size").alias("smallest"), F.max("able").alias("ablest"), F.min("label").alias("x"), F.max("label").alias("y")
+        ).filter("x < y")
         needed = share * (F.col("size") + F.col("smallest"))
         fits = (F.col("able") >= needed) & (F.col("ablest") >= needed)
-        kept = placed.join(bounds, "bucket").filter(fits).drop("smallest", "ablest")
-        mixed = kept.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
-        left = cut(kept.join(mixed, "bucket"))
+        left = cut(placed.join(bounds, "bucket").filter(fits).drop("smallest", "ablest", "x", "y"))
     # Of the buckets a pair shares, only the first brings it out.
     shelves = left.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("all"))
     sided = cut(left.join(shelves, "node"))
