@@ -1,16 +1,17 @@
 """Language-model scores by stupid backoff over count tables of the whole corpus.
 
-Words are 32-bit codes of their hash and a bigram is two codes in one 64-bit number. The count table of bigrams is
+Words are 32-bit codes of their hash and a bigram is two codes. The count table of bigrams is
 partitioned by the hash of the first word, so a partition has the counts of its bigrams and of their contexts; the count
-table of words is partitioned by the word. Documents' exploded n-grams travel to the table's partition packed by batch
-of documents, meet the counts there, and only what the bigram table doesn't answer travels on to the word table. Partial
-sums come home by document.
+table of words is partitioned by the word. Documents' n-grams travel to the table's partition packed by batch
+of documents, each (n-gram, document) once with its count, meet the counts there, and only what the bigram table doesn't
+answer travels on to the word table. Partial sums come home by document.
 
     log S(w | u) = log count(u w) - log count(u .)            where count(u w) >= CUTOFF
                  = log BACKOFF + log count(w) - log tokens    otherwise
 
 Very frequent words would make a few partitions hot. There can be no more than HOT_SHARE partitions' worth of words that are
 so frequent; their counts are told to every task, their bigrams are spread by both words, and they are never asked for.
+As many bigrams can be that frequent; their counts are told to every task too, and they are scored where they are read.
 A repeated row or text counts as often as it occurs.
 
 Defined results: a text of no or one word has no bigram: n_scored 0, log_score 0, mean null. Rows with a null doc_id are
@@ -21,6 +22,7 @@ Other columns don't matter. Codes of two different words agree with probability
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,13 @@ PER_PART = 2_000_000
 #: A word with more than this share of a partition's bigrams is hot.
 HOT_SHARE = 0.25
 
-MOVED = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("docs", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())])
-MOVED_SQL = "part int, kind tinyint, docs binary, sizes binary, grams binary"
-#: Kinds of packed rows: words with their counts, words asked for, sums of documents.
+#: Words of texts that are packed at once.
+AT_ONCE = 2_000_000
+
+_BINARY = ("names", "docs", "times", "sizes", "keys", "firsts", "spans")
+MOVED = pa.schema([("part", pa.int32()), ("kind", pa.int8()), *[(c, pa.binary()) for c in _BINARY]])
+MOVED_SQL = "part int, kind tinyint, " + ", ".join(f"{c} binary" for c in _BINARY)
+#: Kinds of packed rows: words with their counts, words or bigrams asked for, sums of documents.
 TABLE, ASKED, SUMS = 0, 1, 2
 
 
@@ -49,39 +55,85 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of each word (32-bit) or bigram (64-bit)."""
-    return (mix(codes.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    """The partition of each word or document."""
+    return (mix(codes.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def joint(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A number for each bigram, to deal bigrams out; bigrams themselves are told apart by both words."""
+    return mix(u.view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15) * v.view(np.uint64)
 
 
 def coded(docs: DataFrame) -> DataFrame:
     """doc_id and the codes of the whole text's words, in order."""
-    codes = F.transform(words(F.col("text")), lambda w: F.shiftright(F.xxhash64(w), 32).cast("int"))
+    codes = F.transform(words(F.col("text")), lambda w: F.shiftright(F.xxhash64(w), 32))
     return docs.select("doc_id", codes.alias("codes"))
 
 
-def packed(part: int, kind: int, docs: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> dict:
-    return {"part": part, "kind": kind, "docs": docs.tobytes(), "sizes": sizes.astype(np.uint32).tobytes(), "grams": grams.tobytes()}
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 by byte: all lowest bytes, then all next ones, so that small numbers compress."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def packed(part: int, kind: int, names: np.ndarray, keys: np.ndarray, **counts: np.ndarray) -> dict:
+    firsts = counts.pop("firsts", None)
+    return {
+        "part": part, "kind": kind, "names": names.tobytes(), "keys": keys.tobytes(),
+        "firsts": None if firsts is None else firsts.tobytes(), **{c: planes(x) for c, x in counts.items()},
+    }
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal neighbours."""
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return starts, np.diff(np.concatenate([starts, [len(values)]]))
+    starts = changes(values)
+    return starts, lengths(starts, len(values))
+
+
+def lengths(starts: np.ndarray, end: int) -> np.ndarray:
+    return np.diff(np.concatenate([starts, [end]]))
 
 
-def by_part(part: np.ndarray, docs: np.ndarray, grams: np.ndarray, kind: int) -> Iterator[dict]:
-    """Packs grams by partition and, within it, by document; each row has its documents once."""
-    order = np.argsort(part, kind="stable")
-    part, docs, grams = part[order], docs[order], grams[order]
+def by_part(part: np.ndarray, first: np.ndarray | None, key: np.ndarray, doc: np.ndarray, times: np.ndarray) -> Iterator[dict]:
+    """Packs what is asked by partition: each first word, each of its second words and each document of these once, with its count.
+
+    Without ``first``, keys are words.
+    """
+    order = np.lexsort((doc, key, part) if first is None else (doc, key, first, part))
+    part, key, doc, times = part[order], key[order], doc[order], times[order]
+    both = (part, key) if first is None else (part, first := first[order], key)
+    once = changes(*both, doc)
+    if len(once):
+        times = np.add.reduceat(times, once)
+    part, key, doc = part[once], key[once], doc[once]
+    first = None if first is None else first[once]
     for a, n in zip(*runs(part), strict=True):
-        own = docs[a : a + n]
-        starts, sizes = runs(own)
-        yield packed(int(part[a]), kind, own[starts], sizes, grams[a : a + n])
+        names, at = np.unique(doc[a : a + n], return_inverse=True)
+        own, more = key[a : a + n], {}
+        kinds = changes(own) if first is None else changes(first[a : a + n], own)
+        if first is not None:
+            firsts = first[a : a + n][kinds]
+            starts, spans = runs(firsts)
+            more = {"firsts": firsts[starts], "spans": spans}
+        yield packed(int(part[a]), ASKED, names, own[kinds], docs=at, times=times[a : a + n], sizes=lengths(kinds, n), **more)
 
 
-def opened(row: dict, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Documents, repeated for each of their grams, and the grams."""
-    return np.repeat(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["sizes"], np.uint32)), np.frombuffer(row["grams"], kind)
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, the number of documents of each, and these documents with their counts."""
+    names = np.frombuffer(row["names"], np.int64)
+    return np.frombuffer(row["keys"], np.int64), from_planes(row["sizes"]), names[from_planes(row["docs"])], from_planes(row["times"])
 
 
 def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +152,11 @@ def sums_by(docs: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.
 def sums_home(docs: np.ndarray, values: np.ndarray, scored: np.ndarray, parts: int) -> Iterator[dict]:
     """Sums by document, packed for the partition that is the document's home."""
     names, (sums, counts) = sums_by(docs, values, scored)
-    home = part_of(names.view(np.uint64), parts)
+    home = part_of(names, parts)
     order = np.argsort(home, kind="stable")
     names, both, home = names[order], np.stack([sums, counts], 1)[order], home[order]
     for a, k in zip(*runs(home), strict=True):
-        yield packed(int(home[a]), SUMS, names[a : a + k], np.full(k, 1), both[a : a + k])
+        yield packed(int(home[a]), SUMS, names[a : a + k], both[a : a + k])
 
 
 #: Stands for a null doc_id while packed.
@@ -125,92 +177,171 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
         yield now, held
 
 
+def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First words, second words and documents of the bigrams of a batch of ``coded``, some texts at a time."""
+    column = batch.column("codes")
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+    ids = batch.column("doc_id").fill_null(int(NO_ID)).to_numpy()
+    a = 0
+    while a < len(ids):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + AT_ONCE, side="right")) - 1)
+        own, text = flat[ends[a] : ends[b]], np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))
+        pair = text[1:] == text[:-1]
+        yield own[:-1][pair], own[1:][pair], ids[text[:-1][pair]]
+        a = b
+
+
+@dataclass
+class Frequent:
+    """What every task is told: words that would be hot (sorted), how often they occur and are a first word, and hot bigrams."""
+
+    tokens: int
+    parts: int
+    words: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    firsts: np.ndarray  # of hot bigrams, as places in words
+    seconds: np.ndarray
+    pairs: np.ndarray
+
+    def backed(self, counts: np.ndarray) -> np.ndarray:
+        return np.log(BACKOFF) + np.log(np.maximum(counts, 1)) - np.log(self.tokens)
+
+    def scores(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of those bigrams that are hot, and which were."""
+        if not len(self.pairs):
+            return np.zeros(len(u)), np.zeros(len(u), bool)
+        size = len(self.words)
+        ids = np.arange(size)
+        (i, known), (j, also) = lookup(self.words, ids, u), lookup(self.words, ids, v)
+        n, is_hot = lookup(self.firsts * size + self.seconds, self.pairs, i * size + j)
+        hit = np.log(np.maximum(n, 1)) - np.log(np.maximum(self.contexts[i], 1))
+        return np.where(n >= CUTOFF, hit, self.backed(self.counts[j])), is_hot & known & also
+
+
+def frequent(texts: DataFrame, counts: DataFrame) -> Frequent:
+    """``counts(code, n)`` are those of all words of ``texts``.
+
+    A bigram is hot above the same bound as a word. Both of its words are then hot too, so only pairs of hot words are counted.
+    """
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-tokens // PER_PART))
+    bound = HOT_SHARE * max(tokens, 1) / parts
+    # At most parts / HOT_SHARE words can be so frequent, and as many bigrams.
+    hot = counts.filter(F.col("n") > bound).orderBy("code").collect() if parts > 1 else []
+    codes, n = np.array([r["code"] for r in hot], np.int64), np.array([r["n"] for r in hot], np.int64)
+    contexts, none = np.zeros(len(codes), np.int64), np.zeros(0, np.int64)
+    if not hot:
+        return Frequent(tokens, parts, codes, n, contexts, none, none, none)
+    size = len(codes)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.arange(size)
+        for batch in batches:
+            for u, v, _ in pairs_of(batch):
+                i, known = lookup(codes, ids, u)
+                j, also = lookup(codes, ids, v)
+                # Place ``size`` stands for any second word.
+                kinds, times = np.unique(np.concatenate([i[known] * (size + 1) + size, (i * (size + 1) + j)[known & also]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(times)], ["pair", "n"])
+
+    sums = texts.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    told = sums.filter((F.col("pair") % (size + 1) == size) | (F.col("n") > bound)).orderBy("pair").collect()
+    for r in told:
+        if r["pair"] % (size + 1) == size:
+            contexts[r["pair"] // (size + 1)] = r["n"]
+    both = [r for r in told if r["pair"] % (size + 1) != size]
+    pair = np.array([r["pair"] for r in both], np.int64)
+    return Frequent(tokens, parts, codes, n, contexts, pair // (size + 1), pair % (size + 1), np.array([r["n"] for r in both], np.int64))
+
+
+def moved(texts: DataFrame, hot: Frequent) -> DataFrame:
+    """The bigrams of ``coded`` texts as packed rows for the partitions of the table; those that are hot are scored at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u, v, doc in pairs_of(batch):
+                value, known = hot.scores(u, v)
+                rows = list(sums_home(doc[known], value[known], np.ones(int(known.sum())), hot.parts))
+                u, v, doc = u[~known], v[~known], doc[~known]
+                part = part_of(u, hot.parts)
+                _, is_hot = lookup(hot.words, hot.words, u)
+                part[is_hot] = part_of(joint(u[is_hot], v[is_hot]), hot.parts)
+                rows += by_part(part, u, v, doc, np.ones(len(u), np.int64))
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, MOVED)
+
+    return texts.mapInArrow(run, MOVED_SQL)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per doc_id of ``docs`` (doc_id, text): doc_id, n_scored, log_score (natural) and mean_log_score."""
     texts = coded(docs)
     each = texts.select(F.explode("codes").alias("code"))
     counts = cut(each.groupBy("code").agg(F.count(F.lit(1)).alias("n")))
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-tokens // PER_PART))
-    # At most parts / HOT_SHARE words can be so frequent.
-    hot = counts.filter(F.col("n") > HOT_SHARE * max(tokens, 1) / parts).orderBy("code").collect() if parts > 1 else []
-    hot_codes = np.array([r["code"] for r in hot], np.int32)
-    hot_counts = np.array([r["n"] for r in hot], np.int64)
-    firsts: dict[int, int] = {}
-    if hot:
-        context = texts.select(F.explode(F.slice("codes", F.lit(1), F.greatest(F.size("codes") - 1, F.lit(0)))).alias("code"))
-        known = context.filter(F.col("code").isin(hot_codes.tolist())).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-        firsts = {r["code"]: r["n"] for r in known.collect()}
-    hot_contexts = np.array([firsts.get(int(c), 0) for c in hot_codes], np.int64)
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("codes")
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(column.offsets.to_numpy())
-            doc = np.repeat(batch.column("doc_id").fill_null(int(NO_ID)).to_numpy(), sizes)
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            pair = text[1:] == text[:-1]
-            u, v, doc = flat[:-1][pair], flat[1:][pair], doc[:-1][pair]
-            grams = (u.view(np.uint32).astype(np.uint64) << np.uint64(32)) | v.view(np.uint32)
-            part = part_of(u.view(np.uint32), parts)
-            _, is_hot = lookup(hot_codes, hot_codes, u)
-            part[is_hot] = part_of(grams[is_hot], parts)
-            yield pa.RecordBatch.from_pylist(list(by_part(part, doc, grams, ASKED)), MOVED)
+    hot = frequent(texts, counts)
+    parts = hot.parts
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in groups(batches):
-            docs_, grams = (np.concatenate(x) for x in zip(*[opened(r, np.uint64) for r in rows], strict=True))
+            sums = [{**r, "part": part} for r in rows if r["kind"] == SUMS]
+            if sums:
+                yield pa.RecordBatch.from_pylist(sums, MOVED)
+            asked = [r for r in rows if r["kind"] == ASKED]
             rows.clear()
-            kinds, at, n = np.unique(grams, return_inverse=True, return_counts=True)
-            u_kinds = (kinds >> np.uint64(32)).astype(np.uint32)
-            starts, lengths = runs(u_kinds)  # sorted by first word
-            context = np.repeat(np.add.reduceat(n, starts), lengths) if len(n) else n
-            told, is_hot = lookup(hot_codes, hot_contexts, u_kinds.view(np.int32))
-            context = np.where(is_hot, told, context)
-            logs = np.log(n) - np.log(np.maximum(context, 1))
-            hit = (n >= CUTOFF)[at]
-            v = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            known, is_hot = lookup(hot_codes, hot_counts, v)
-            value = np.where(hit, logs[at], np.log(BACKOFF) + np.log(np.maximum(known, 1)) - np.log(tokens))
-            done = hit | is_hot
-            summed = list(sums_home(docs_[done], value[done], np.ones(int(done.sum())), parts))
+            if not asked:
+                continue
+            u = np.concatenate([np.repeat(np.frombuffer(r["firsts"], np.int64), from_planes(r["spans"])) for r in asked])
+            v, sizes, doc, times = (np.concatenate(x) for x in zip(*[opened(r) for r in asked], strict=True))
+            asked.clear()
+            sizes, own = sizes.astype(np.int64), np.add.reduceat(times.astype(np.int64), np.cumsum(sizes.astype(np.int64)) - sizes)
+            order = np.lexsort((v, u))
+            kinds = changes(u[order], v[order])
+            n = np.add.reduceat(own[order], kinds)
+            u_kinds, v_kinds = u[order[kinds]], v[order[kinds]]
+            starts, spans = runs(u_kinds)  # sorted by first word
+            told, is_hot = lookup(hot.words, hot.contexts, u_kinds)
+            context = np.where(is_hot, told, np.repeat(np.add.reduceat(n, starts), spans))
+            known, is_hot = lookup(hot.words, hot.counts, v_kinds)
+            value = np.where(n >= CUTOFF, np.log(n) - np.log(np.maximum(context, 1)), hot.backed(known))
+            settled = (n >= CUTOFF) | is_hot
+            at = np.empty(len(order), np.int64)
+            at[order] = np.repeat(np.arange(len(kinds)), lengths(kinds, len(order)))
+            at = np.repeat(at, sizes)
+            done = settled[at]
+            summed = list(sums_home(doc[done], value[at[done]] * times[done], times[done], parts))
             if summed:
                 yield pa.RecordBatch.from_pylist(summed, MOVED)
-            left, doc = v[~done], docs_[~done]
-            order = np.argsort(doc, kind="stable")
-            left, doc = left[order], doc[order]
-            asked = list(by_part(part_of(left.view(np.uint32), parts), doc, left, ASKED))
-            if asked:
-                yield pa.RecordBatch.from_pylist(asked, MOVED)
+            left = v_kinds[at[~done]]
+            rest = list(by_part(part_of(left, parts), None, left, doc[~done], times[~done].astype(np.int64)))
+            if rest:
+                yield pa.RecordBatch.from_pylist(rest, MOVED)
 
     def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
-            part = part_of(codes.view(np.uint32), parts)
+            part = part_of(codes, parts)
             order = np.argsort(part, kind="stable")
-            yield pa.RecordBatch.from_pylist(
-                [packed(int(part[order[a]]), TABLE, n[order[a : a + k]], np.zeros(0), codes[order[a : a + k]]) for a, k in zip(*runs(part[order]), strict=True)], MOVED
-            )
+            yield pa.RecordBatch.from_pylist([packed(int(part[order[a]]), TABLE, n[order[a : a + k]], codes[order[a : a + k]]) for a, k in zip(*runs(part[order]), strict=True)], MOVED)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches):
             tables = [r for r in rows if r["kind"] == TABLE]
-            codes = np.concatenate([np.frombuffer(r["grams"], np.int32) for r in tables]) if tables else np.zeros(0, np.int32)
-            n = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in tables]) if tables else np.zeros(0, np.int64)
+            codes = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in tables]) if tables else np.zeros(0, np.int64)
+            n = np.concatenate([np.frombuffer(r["names"], np.int64) for r in tables]) if tables else np.zeros(0, np.int64)
             order = np.argsort(codes, kind="stable")
             codes, n = codes[order], n[order]
             docs_, values, scored = [], [], []
             for r in rows:
                 if r["kind"] == ASKED:
-                    doc, asked = opened(r, np.int32)
+                    asked, sizes, doc, times = opened(r)
                     count, _ = lookup(codes, n, asked)
                     docs_.append(doc)
-                    values.append(np.log(BACKOFF) + np.log(np.maximum(count, 1)) - np.log(tokens))
-                    scored.append(np.ones(len(doc)))
+                    values.append(np.repeat(hot.backed(count), sizes) * times)
+                    scored.append(times.astype(np.float64))
                 elif r["kind"] == SUMS:
-                    both = np.frombuffer(r["grams"], np.float64).reshape(-1, 2)
-                    docs_.append(np.frombuffer(r["docs"], np.int64))
+                    both = np.frombuffer(r["keys"], np.float64).reshape(-1, 2)
+                    docs_.append(np.frombuffer(r["names"], np.int64))
                     values.append(both[:, 0])
                     scored.append(both[:, 1])
             if docs_:
@@ -218,15 +349,15 @@ def score(docs: DataFrame) -> DataFrame:
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches):
-            both = np.concatenate([np.frombuffer(r["grams"], np.float64).reshape(-1, 2) for r in rows])
-            names, (sums, counts_) = sums_by(np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows]), both[:, 0], both[:, 1])
+            both = np.concatenate([np.frombuffer(r["keys"], np.float64).reshape(-1, 2) for r in rows])
+            names, (sums, counts_) = sums_by(np.concatenate([np.frombuffer(r["names"], np.int64) for r in rows]), both[:, 0], both[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(names, mask=names == NO_ID), pa.array(counts_.astype(np.int64)), pa.array(sums)], ["doc_id", "n_scored", "log_score"])
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = max(1, min(width, parts)) if parts < width else width
-    moved = texts.mapInArrow(bigrams, MOVED_SQL).repartition(width, "part").sortWithinPartitions("part").mapInArrow(answered, MOVED_SQL)
+    bigrams = moved(texts, hot).repartition(width, "part").sortWithinPartitions("part").mapInArrow(answered, MOVED_SQL)
     table = counts.mapInArrow(tabled, MOVED_SQL)
-    sent = moved.unionByName(table).repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(finished, MOVED_SQL)
+    sent = bigrams.unionByName(table).repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(finished, MOVED_SQL)
     parts_ = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(home, "doc_id long, n_scored long, log_score double")
     scored = parts_.unionByName(docs.select("doc_id", F.lit(0).cast("bigint").alias("n_scored"), F.lit(0.0).alias("log_score")))
     total = scored.groupBy("doc_id").agg(F.sum("n_scored").alias("n_scored"), F.sum("log_score").alias("log_score"))

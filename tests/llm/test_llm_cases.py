@@ -309,6 +309,29 @@ def test_backoff_scores(spark, docs, monkeypatch):
     assert lm_scoring.score(empty(spark)).count() == 0
 
 
+def backoff_by_hand(rows):
+    texts = [words(t) for _, t in rows]
+    one, two, first = Counter(x for w in texts for x in w), Counter(p for w in texts for p in zip(w, w[1:])), Counter(x for w in texts for x in w[:-1])
+    total = sum(one.values())
+    return {i: sum(math.log(two[p] / first[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / total) for p in zip(w, w[1:])) for (i, _), w in zip(rows, texts)}
+
+
+def test_hot_bigram_is_not_sent_to_one_partition(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PER_PART", 2_000)
+    draw = random.Random(3)
+    rows = [(i, "the the the the " * 8 + " ".join(f"w{draw.randrange(3000)}" for _ in range(32))) for i in range(400)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = lm_scoring.coded(docs_)
+    hot = lm_scoring.frequent(texts, texts.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    held = Counter()
+    for r in lm_scoring.moved(texts, hot).filter(f"kind = {lm_scoring.ASKED}").collect():
+        held[r["part"]] += int(lm_scoring.from_planes(r["times"]).sum())
+    assert len(held) == hot.parts > 8 and max(held.values()) < 2 * lm_scoring.PER_PART
+    want = backoff_by_hand(rows)
+    got = lm_scoring.score(docs_).collect()
+    assert len(got) == 400 and all(r["n_scored"] == 63 and r["log_score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in got)
+
+
 def test_sites_and_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     rows, labels = load(spark, d, "documents"), load(spark, d, "labels")
