@@ -1,6 +1,6 @@
 """Language-model scores by stupid backoff over count tables of the whole corpus.
 
-Words are 32-bit codes of their hash and a bigram is two codes. The count table of bigrams is
+Words are 64-bit hashes and a bigram is two of them. The count table of bigrams is
 partitioned by the hash of the first word, so a partition has the counts of its bigrams and of their contexts; the count
 table of words is partitioned by the word. Documents' n-grams travel to the table's partition packed by batch
 of documents, each (n-gram, document) once with its count, meet the counts there, and only what the bigram table doesn't
@@ -16,7 +16,8 @@ A repeated row or text counts as often as it occurs.
 
 Defined results: a text of no or one word has no bigram: n_scored 0, log_score 0, mean null. Rows with a null doc_id are
 scored together as one document of that id. A document that repeats a doc_id is scored with the others of that id.
-Other columns don't matter. Codes of two different words agree with probability 2**-32 per pair.
+Other columns don't matter. Hashes of two different words agree with probability 2**-64 per pair: among 50 million words
+that any two do has a probability below 1e-4. N-grams are of order two only, and a text's first word has no term.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ PER_PART = 2_000_000
 HOT_SHARE = 0.25
 
 #: Words of texts that are packed at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 300_000
 
 _BINARY = ("names", "docs", "times", "sizes", "keys", "firsts", "spans")
 MOVED = pa.schema([("part", pa.int32()), ("kind", pa.int8()), *[(c, pa.binary()) for c in _BINARY]])
@@ -66,7 +67,7 @@ def joint(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def coded(docs: DataFrame) -> DataFrame:
     """doc_id and the codes of the whole text's words, in order."""
-    codes = F.transform(words(F.col("text")), lambda w: F.shiftright(F.xxhash64(w), 32))
+    codes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
     return docs.select("doc_id", codes.alias("codes"))
 
 
@@ -114,6 +115,7 @@ def by_part(part: np.ndarray, first: np.ndarray | None, key: np.ndarray, doc: np
     order = np.lexsort((doc, key, part) if first is None else (doc, key, first, part))
     part, key, doc, times = part[order], key[order], doc[order], times[order]
     both = (part, key) if first is None else (part, first := first[order], key)
+    del order
     once = changes(*both, doc)
     if len(once):
         times = np.add.reduceat(times, once)
@@ -294,26 +296,29 @@ def score(docs: DataFrame) -> DataFrame:
             u = np.concatenate([np.repeat(np.frombuffer(r["firsts"], np.int64), from_planes(r["spans"])) for r in asked])
             v, sizes, doc, times = (np.concatenate(x) for x in zip(*[opened(r) for r in asked], strict=True))
             asked.clear()
-            sizes, own = sizes.astype(np.int64), np.add.reduceat(times.astype(np.int64), np.cumsum(sizes.astype(np.int64)) - sizes)
+            own = np.add.reduceat(times, np.cumsum(sizes, dtype=np.int64) - sizes, dtype=np.int64)
             order = np.lexsort((v, u))
             kinds = changes(u[order], v[order])
             n = np.add.reduceat(own[order], kinds)
             u_kinds, v_kinds = u[order[kinds]], v[order[kinds]]
+            del u, v, own
             starts, spans = runs(u_kinds)  # sorted by first word
             told, is_hot = lookup(hot.words, hot.contexts, u_kinds)
             context = np.where(is_hot, told, np.repeat(np.add.reduceat(n, starts), spans))
             known, is_hot = lookup(hot.words, hot.counts, v_kinds)
             value = np.where(n >= CUTOFF, np.log(n) - np.log(np.maximum(context, 1)), hot.backed(known))
             settled = (n >= CUTOFF) | is_hot
-            at = np.empty(len(order), np.int64)
-            at[order] = np.repeat(np.arange(len(kinds)), lengths(kinds, len(order)))
+            at = np.empty(len(order), np.int32)
+            at[order] = np.repeat(np.arange(len(kinds), dtype=np.int32), lengths(kinds, len(order)))
             at = np.repeat(at, sizes)
+            del order, sizes
             done = settled[at]
             summed = list(sums_home(doc[done], value[at[done]] * times[done], times[done], parts))
             if summed:
                 yield pa.RecordBatch.from_pylist(summed, MOVED)
-            left = v_kinds[at[~done]]
-            rest = list(by_part(part_of(left, parts), None, left, doc[~done], times[~done].astype(np.int64)))
+            left, doc, times = v_kinds[at[~done]], doc[~done], times[~done].astype(np.int64)
+            del at, done, summed
+            rest = list(by_part(part_of(left, parts), None, left, doc, times))
             if rest:
                 yield pa.RecordBatch.from_pylist(rest, MOVED)
 

@@ -332,6 +332,25 @@ def test_hot_bigram_is_not_sent_to_one_partition(spark, monkeypatch):
     assert len(got) == 400 and all(r["n_scored"] == 63 and r["log_score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in got)
 
 
+def test_words_that_share_half_a_hash_are_counted_apart(spark):
+    made = spark.range(400_000).select(F.format_string("w%d", "id").alias("w"))
+    shared = made.groupBy(F.shiftright(F.xxhash64("w"), 32).alias("half")).agg(F.sort_array(F.collect_list("w")).alias("same")).filter("size(same) > 1").orderBy("half").first()
+    a, b = shared["same"][:2]
+    rows = [(1, f"x {a} x {a} y"), (2, f"x {b} z {a}"), (3, f"q {b} r")]
+    want = backoff_by_hand(rows)
+    got = {r["doc_id"]: r["log_score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_no_given_document_is_scored_wrong(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PER_PART", 50_000)
+    docs_ = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    want = backoff_by_hand([tuple(r) for r in docs_.collect()])
+    got = {r["doc_id"]: r["log_score"] for r in lm_scoring.score(docs_).collect()}
+    assert set(got) == set(want)
+    assert not [i for i, x in want.items() if abs(got[i] - x) > 1e-6 * max(1, abs(x))]
+
+
 def test_sites_and_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     rows, labels = load(spark, d, "documents"), load(spark, d, "labels")
