@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 #: Times that what can't match is taken out, each with fewer shingles left to share.
 NARROWINGS = 3
+#: Shingles by which bounds on an overlap are looser than the exact check.
+SLACK = 1e-6
 #: Darts expected beyond k ln k, as a multiple of k: so few sketches need a second, longer throw.
 EXTRA = 3.0
 #: Darts held at once while a batch is sketched.
@@ -173,26 +175,26 @@ def remaining(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     shingles, and its similarity is bounded by sizes alone; that settles nearly all pairs of a large group of loose copies
     without looking at their sets. What can't match any set, or not even the smallest of a bucket, leaves it first.
     """
-    share = least / (1 + least)  # of both sizes together, that the overlap must reach
+    # Looser than similar() by more than doubles can be off, so that no pair at exactly ``least`` is lost.
+    reaches = lambda able, total: able * (1 + least) >= least * total - SLACK
     left = open_
     for _ in range(NARROWINGS):
         held = sets.join(left.select("node").distinct(), "node", "left_semi")
         alone = held.select("node", F.explode("elements").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
         own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
         sized = held.select("node", F.size("elements").alias("size")).join(own, "node", "left")
-        able = cut(sized.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("able")).filter(F.col("able") >= least * F.col("size")))
+        able = cut(sized.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("able")).filter(F.col("able") >= least * F.col("size") - SLACK))
         placed = cut(left.select("bucket", "node", "label").join(able, "node"))
         bounds = placed.groupBy("bucket").agg(
             F.min("size").alias("smallest"), F.max("able").alias("ablest"), F.min("label").alias("x"), F.max("label").alias("y")
         ).filter("x < y")
-        needed = share * (F.col("size") + F.col("smallest"))
-        fits = (F.col("able") >= needed) & (F.col("ablest") >= needed)
+        fits = reaches(F.least("able", "ablest"), F.col("size") + F.col("smallest"))
         left = cut(placed.join(bounds, "bucket").filter(fits).drop("smallest", "ablest", "x", "y"))
     # Of the buckets a pair shares, only the first brings it out.
     shelves = left.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("all"))
     sided = cut(left.join(shelves, "node"))
     a, b = (sided.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "size", "able", "all")]) for x in ("a", "b"))
-    fits = F.least("a_able", "b_able") >= share * (F.col("a_size") + F.col("b_size"))
+    fits = reaches(F.least("a_able", "b_able"), F.col("a_size") + F.col("b_size"))
     first = F.array_intersect("a_all", "b_all")[0] == a["bucket"]
     met = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a_label") < F.col("b_label")) & fits & first)
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))

@@ -216,6 +216,17 @@ def test_residual_pairs_find_links_a_star_misses(spark):
     assert {r["doc_id"]: r["class_id"] for r in dart_minhash.classes(table_).collect()} == classes_by_hand(table_.collect())
 
 
+def test_residual_pairs_at_exactly_the_bound_stay(spark):
+    for total in (63, 117, 126, 135, 234):
+        shared, a = total * 4 // 9, total // 2
+        sets = {1: list(range(a)), 2: [*range(shared), *range(1000, 1000 + total - a - shared)]}
+        assert shared >= dart_minhash.SIMILARITY * (total - shared)
+        held = spark.createDataFrame(list(sets.items()), "node long, elements array<long>")
+        open_ = spark.createDataFrame([(7, 1, 1), (7, 2, 2)], "bucket long, node long, label long")
+        pairs = dart_minhash.remaining(open_, held, dart_minhash.SIMILARITY)
+        assert [tuple(r) for r in dart_minhash.similar(held, pairs, dart_minhash.SIMILARITY).collect()] == [(1, 2)], total
+
+
 def test_sketches_estimate_weighted_jaccard():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
