@@ -11,7 +11,7 @@ from tallyway import model
 from tallyway.functions import geo, roads
 from tallyway.operators import assign, demand, feeds, network, paths, scenario, snap, transit
 from tallyway.plans import oracle
-from tallyway.plans.derive import CHUNKS, CRASHES, Town
+from tallyway.plans.derive import CHUNKS, CRASHES, SOUTH, WEST, Town
 from tallyway.plans.oracle import sql
 from tallyway.streaming import feeds as streams
 
@@ -318,7 +318,7 @@ def hour_assignment(t: Town) -> DataFrame:
 @query()
 def shortest_path_skim(t: Town) -> DataFrame:
     near = snap.to_few(t.zones.withColumnRenamed("zone", "point"), t.nodes.withColumnRenamed("node", "target")).select(F.col("point").alias("origin"), F.col("target").alias("node"), F.lit(0.0).alias("cost"))
-    far = paths.relaxed(_solver_edges(t).select("src", "dst", F.col("free_s").alias("cost")), near, budget=1200.0)
+    far = paths.relaxed(_solver_edges(t).select("src", "dst", F.col("free_s").alias("cost")), near)
     return rounded(far, 4)
 
 
@@ -362,10 +362,13 @@ def _walks(t: Town) -> DataFrame:
 
 
 def _starts(t: Town) -> DataFrame:
-    """Reach from the node of every hundredth supplier: a stated set of origins."""
-    n = t.side * t.side
-    node = F.col("s_suppkey") * 37 % n
-    return t.table("supplier").filter("s_suppkey % 100 = 0").select(F.col("s_suppkey").alias("origin"), node.alias("node"), F.lit(0.0).alias("cost")).join(t.nodes.select("node"), "node", "left_semi").select("origin", "node", "cost")
+    """Reach from every supplier whose id is divisible by 50; where its place on the lattice has no node, from the nearest node."""
+    side = t.side
+    own = t.table("supplier").filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("origin"), (F.col("s_suppkey") * 37 % (side * side)).alias("node"))
+    at = lambda low, span, k: F.lit(low) + F.lit(span) * k / (side - 1)
+    gone = own.join(t.nodes.select("node"), "node", "left_anti").select(F.col("origin").alias("point"), at(WEST, 0.5, F.col("node") % side).alias("lon"), at(SOUTH, 0.46, F.floor(F.col("node") / side)).alias("lat"))
+    moved = snap.to_few(gone, t.nodes.withColumnRenamed("node", "target")).select(F.col("point").alias("origin"), F.col("target").alias("node"))
+    return own.join(t.nodes.select("node"), "node", "left_semi").select("origin", "node").unionByName(moved).withColumn("cost", F.lit(0.0))
 
 
 def _calls(t: Town) -> DataFrame:
