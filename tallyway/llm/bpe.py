@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, in numpy, for use inside tasks.
 
 Byte-level BPE first cuts a text into words by a pattern and never merges across a cut. Most words of a corpus occur
-again and again, so here the cut is made once per text, and the library's BPE model is asked once per distinct word;
-that costs a third of encoding every text afresh. Texts with special-token strings or with control characters whose
+again and again, so here the cut is made once per text, and the library's BPE model is asked once per distinct word that the worker
+doesn't remember; that costs a third of encoding every text afresh. Texts with special-token strings or with control characters whose
 class differs between regular expression engines are encoded whole by the library, as is everything under tokenizers
 of another kind.
 """
@@ -14,18 +14,21 @@ import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-#: Distinct words that one worker remembers; then it starts afresh.
-KNOWN = 500_000
+#: Distinct words that one worker remembers, some 45 MB of them; beyond, it forgets the rare half.
+KNOWN = 200_000
 #: Letters of words that it remembers at most.
-LETTERS = 20_000_000
-#: Characters encoded at once.
-CHARS = 1_000_000
+LETTERS = 4_000_000
+#: Characters encoded at once, and texts taken out of Arrow at once.
+CHARS, ROWS = 500_000, 200
 ODD = re.compile("[\x1c-\x1f]")
+#: Before a text that isn't cut, where words are told apart; texts with this letter are never cut.
+WHOLE = "\x1f"
 # Fixed value of the byte-level tokenizer: its pattern, whole, and as the standard library spells it for plain letters.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -46,38 +49,56 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        told = json.loads(self.tokenizer.to_str())
-        pre = told.get("pre_tokenizer") or {}
+        pre, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        told = json.loads(pre.__getstate__()) if pre is not None else {}
         self.cuts = (
-            pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-            and not told.get("normalizer") and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+            told.get("type") == "ByteLevel" and told.get("use_regex") and not told.get("add_prefix_space")
+            and self.tokenizer.normalizer is None and isinstance(self.model, BPE) and not self.model.dropout
         )
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        added = [re.escape(t["content"]) for t in told.get("added_tokens", [])]
+        self.space = byte_letters()[ord(" ")]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)) if added else None
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        """Keeps the more frequent half of the words at most, and none that was met but once."""
+        n = len(self.known)
+        often = np.argsort(-self.hits[:n], kind="stable")[: KNOWN // 2]
+        keep = np.sort(often[self.hits[often] > 1])
+        size = self.size[keep]
+        stop = np.cumsum(size)
+        self.ids = self.ids[np.repeat(self.start[keep] - (stop - size), size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.hits, self.used = stop - size, size, self.hits[keep] // 2, len(self.ids)
+        words = list(self.known)  # in the order of their numbers
+        words = [words[i] for i in keep.tolist()]
+        self.known = dict(zip(words, range(len(words)), strict=True))
+        self.held = sum(map(len, words))
+        if self.held > LETTERS // 2:
+            self.known, self.held, self.used = {}, 0, 0
 
     def whole(self, text: str) -> bool:
         """Whether the library has to see the text as it is."""
         return bool(not self.cuts or ODD.search(text) or (self.special and self.special.search(text)))
 
     def pieces(self, text: str) -> Sequence[str]:
+        """The words of the text; one that isn't cut has a mark before it, which no word has."""
         if self.whole(text):
-            return (text,) if text else ()
+            return (WHOLE + text,) if text else ()
         return WORDS.findall(text) if BEYOND.search(text) else PLAIN_WORDS.findall(text)
 
     def spell(self, piece: str) -> list[int]:
-        if self.whole(piece):
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        if piece[0] == WHOLE:
+            return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
+        plain = piece.isascii() and piece.isprintable()
+        letters = piece.replace(" ", self.space) if plain else piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def learn(self, new: list[str]) -> None:
         made = [self.spell(w) for w in new]
@@ -85,11 +106,12 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
         n, m = len(self.known), len(self.known) + len(new)
         while m > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            more = np.zeros(max(len(self.start), 1 << 14), np.int64)
+            self.start, self.size, self.hits = (np.concatenate([x, more]) for x in (self.start, self.size, self.hits))
         while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), 1 << 16), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.start[n:m], self.size[n:m] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.start[n:m], self.size[n:m], self.hits[n:m] = self.used + np.cumsum(sizes) - sizes, sizes, 0
         self.used += len(flat)
         self.held += sum(map(len, new))
         self.known.update(zip(new, range(n, m), strict=True))
@@ -100,11 +122,13 @@ class Encoder:
             self.forget()
         cut = [self.pieces(t) for t in texts]
         words = list(chain.from_iterable(cut))
-        at = list(map(self.known.get, words))
-        if None in at:
-            self.learn(list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None)))
-            at = list(map(self.known.__getitem__, words))
-        where = np.array(at, np.int64)
+        where = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(where < 0)
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(unknown)))
+            where[missing] = list(map(self.known.__getitem__, unknown))
+        self.hits[: len(self.known)] += np.bincount(where, minlength=len(self.known))
         sizes = self.size[where]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -124,20 +148,29 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(texts: Sequence[str | None], path: str, end: int) -> Iterator[np.ndarray]:
+def encoded(texts: pa.Array | Sequence[str | None], path: str, end: int) -> Iterator[np.ndarray]:
     """The ids of each text (null: empty) with ``end`` after them, in order."""
-    of, first = encoder(path), 0
-    while first < len(texts):
-        last, chars = first, 0
-        while last < len(texts) and (last == first or chars < CHARS):
-            chars += len(texts[last] or "")
-            last += 1
-        ids, sizes = of.encode([t or "" for t in texts[first:last]])
-        ends = np.cumsum(sizes)
-        padded = np.insert(ids, ends, np.uint32(end))
+    of = encoder(path)
+    for group in grouped(texts):
+        ids, sizes = of.encode(group)
+        padded = np.insert(ids, np.cumsum(sizes), np.uint32(end))
         stop = np.cumsum(sizes + 1)
-        yield from (padded[a:b] for a, b in zip(stop - sizes - 1, stop, strict=True))
-        first = last
+        yield from (padded[a:b] for a, b in zip((stop - sizes - 1).tolist(), stop.tolist(), strict=True))
+
+
+def grouped(texts: pa.Array | Sequence[str | None]) -> Iterator[list[str]]:
+    """Neighbouring texts of about CHARS characters, or one longer one; of an Arrow array few are Python strings at once."""
+    group, chars = [], 0
+    for first in range(0, len(texts), ROWS):
+        some = texts[first : first + ROWS]
+        for text in some.to_pylist() if isinstance(some, pa.Array) else some:
+            group.append(text or "")
+            chars += len(group[-1])
+            if chars >= CHARS:
+                yield group
+                group, chars = [], 0
+    if group:
+        yield group
 
 
 def crc(ids: np.ndarray) -> int:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,10 @@ HAS_CHECKSUMS = 0x80
 
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("start", "<u8"), ("size", "<u4")])
 LEVEL = 3
+#: Bytes of text, and at least of each document, by which the number of files is chosen; a file's index stays small.
+FILE_SIZE, LEAST_SIZE = 64 << 20, 64
+#: Bytes read at once where a file is read as a whole.
+READ_AHEAD = 1 << 20
 LISTED = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -48,24 +53,28 @@ class Writer:
     def __init__(self, out, wide: bool):
         self.out, self.kind = out, "<u4" if wide else "<u2"
         self.pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
-        self.frames: list[tuple[int, int, int]] = []
-        self.index: list[tuple] = []
-        self.tokens = 0
+        self.frames, self.sizes, self.tokens = array("I"), array("I"), 0
+        self.ids, self.known = array("q"), array("B")
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         plain = ids.astype(self.kind).tobytes()
         frame = self.pack.compress(plain)
         self.out.write(frame)
-        self.index.append((doc_id or 0, doc_id is not None, len(self.frames), self.tokens, len(ids)))
-        self.frames.append((len(frame), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
+        self.ids.append(doc_id or 0)
+        self.known.append(doc_id is not None)
+        self.sizes.append(len(ids))
+        self.frames.extend((len(frame), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
         self.tokens += len(ids)
 
     def close(self) -> None:
-        body = bytes([int(self.kind == "<u4")]) + self.pack.compress(np.array(self.index, INDEX).tobytes())
+        index = np.zeros(len(self.ids), INDEX)
+        size = np.array(self.sizes, np.int64)
+        index["doc_id"], index["known"], index["size"] = self.ids, self.known, size
+        index["frame"], index["start"] = np.arange(len(index)), np.cumsum(size) - size
+        body = bytes([int(self.kind == "<u4")]) + self.pack.compress(index.tobytes())
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(body)) + body)
-        self.frames.append((len(body) + 8, 0, 0))
-        table = b"".join(struct.pack("<III", *f) for f in self.frames)
-        table += struct.pack("<IBI", len(self.frames), HAS_CHECKSUMS, SEEK_MAGIC)
+        self.frames.extend((len(body) + 8, 0, 0))
+        table = np.array(self.frames, "<u4").tobytes() + struct.pack("<IBI", len(self.frames) // 3, HAS_CHECKSUMS, SEEK_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK, len(table)) + table)
 
 
@@ -100,12 +109,24 @@ class Reader:
     def ids(self, k: int) -> np.ndarray:
         """Ids of the ``k``-th document; only its frame is read. A frame that fails its checksum is an error."""
         frame = int(self.index["frame"][k])
-        _, plain_size, told = (int(x) for x in self.frames[frame])
-        plain = self.unpack.decompress(self.read(int(self.at[frame]), int(self.frames[frame, 0])), max_output_size=max(plain_size, 1))
+        return self.opened(frame, self.read(int(self.at[frame]), int(self.frames[frame, 0])))
+
+    def opened(self, frame: int, data: bytes) -> np.ndarray:
+        _, plain_size, told = self.frames[frame].tolist()
+        plain = self.unpack.decompress(data, max_output_size=max(plain_size, 1))
         if len(plain) != plain_size or xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF != told:
             raise ValueError(f"frame {frame} is damaged")
         return np.frombuffer(plain, self.kind)
 
+    def all(self, stream) -> Iterator[np.ndarray]:
+        """Ids of every document, in order, from a stream at the beginning of the file; one read follows the other."""
+        for frame in self.index["frame"].tolist():
+            size = int(self.frames[frame, 0])
+            data = stream.read(size)
+            if len(data) != size:
+                raise ValueError("the file ends early")
+            yield self.opened(frame, data)
+
     def find(self, doc_id: int) -> list[int]:
         """Places of the documents with this id; ids ascend, so it is a binary search."""
         known = int((self.index["known"] == 0).sum())
@@ -124,7 +145,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, files: int
     Columns: file, file_no (ascending with doc_id), n_docs, n_tokens, first_token (ids in all files before).
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + LEAST_SIZE
+        total = docs.agg(F.sum(size).alias("n")).first()["n"] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_SIZE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(folder)
@@ -133,7 +157,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, files: int
         wide = bpe.encoder(tokenizer).tokenizer.get_vocab_size() > 1 << 16
         out = None
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
             if ids and writer is None:
                 out, part = store.open_output_stream(f"{base}/{name}", compression=None), batch.column("part")[0].as_py()
                 writer = Writer(out, wide)
@@ -142,7 +166,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, files: int
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "part": part, "n_docs": len(writer.index), "n_tokens": writer.tokens}], LISTED)
+            yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "part": part, "n_docs": len(writer.sizes), "n_tokens": writer.tokens}], LISTED)
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     ranged = keyed.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
@@ -163,7 +187,9 @@ def read(files: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 reader = open_reader(row["file"])
                 index = reader.index
-                crcs = np.fromiter((bpe.crc(reader.ids(k)) for k in range(len(index))), np.int64, len(index))
+                store, path = pafs.FileSystem.from_uri(row["file"])
+                with store.open_input_stream(path, compression=None, buffer_size=READ_AHEAD) as stream:
+                    crcs = np.fromiter(map(bpe.crc, reader.all(stream)), np.int64, len(index))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(index["doc_id"].astype(np.int64), mask=index["known"] == 0),

@@ -491,7 +491,7 @@ def test_token_files(spark, docs):
     assert {k: sorted(v) for k, v in back.items()} == {k: sorted(v) for k, v in made.items()}
     files = token_files.write(rows, shared_path(spark, "t"), PATH)
     some = token_files.fetch(files, spark.createDataFrame([(2,), (6,), (10**9,)], "doc_id long")).collect()
-    assert Counter(r["doc_id"] for r in some) == {2: 2, 6: 1}
+    assert Counter(r["doc_id"] for r in some) == {i: len(made[i]) for i in (2, 6)}
     assert token_files.round_trip(spark, empty(spark), PATH).count() == 0
 
 
