@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-#: Distinct words that one worker remembers, some 45 MB of them; beyond, it forgets the rare half.
-KNOWN = 200_000
+#: Distinct words that one worker remembers, some 65 MB of them; beyond, it forgets the rare half.
+KNOWN = 300_000
 #: Letters of words that it remembers at most.
-LETTERS = 4_000_000
+LETTERS = 6_000_000
 #: Characters encoded at once, and texts taken out of Arrow at once.
 CHARS, ROWS = 500_000, 200
 ODD = re.compile("[\x1c-\x1f]")

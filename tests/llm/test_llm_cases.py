@@ -516,5 +516,7 @@ def test_encoder_equals_the_library():
     tokenizer, rng = Tokenizer.from_file(PATH), random.Random(1)
     letters = "ab 'st\n\t .,é²½_ß中ʰ<|endoftext|>\x1d　 12 "
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(2000)] + ["<|endoftext|>", " <|endoftext|> x", "", "  ", "a  b", "it's  we'll", None]
+    letters = "ab, \n\n  'té"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(4000)] + ["\n", "\n\n", "a\n", "a\n\n", "\na", "a\n\nb", "a\n\n\nb", " a", "a "]
     got = [x.tolist() for x in bpe.encoded(texts, PATH, 7)]
     assert got == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
