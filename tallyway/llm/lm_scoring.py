@@ -1,369 +1,153 @@
 """Language-model scores by stupid backoff over count tables of the whole corpus.
 
-Words are 64-bit hashes and a bigram is two of them. The count table of bigrams is
-partitioned by the hash of the first word, so a partition has the counts of its bigrams and of their contexts; the count
-table of words is partitioned by the word. Documents' n-grams travel to the table's partition packed by batch
-of documents, each (n-gram, document) once with its count, meet the counts there, and only what the bigram table doesn't
-answer travels on to the word table. Partial sums come home by document.
-
-    log S(w | u) = log count(u w) - log count(u .)            where count(u w) >= CUTOFF
-                 = log BACKOFF + log count(w) - log tokens    otherwise
-
-Very frequent words would make a few partitions hot. There can be no more than HOT_SHARE partitions' worth of words that are
-so frequent; their counts are told to every task, their bigrams are spread by both words, and they are never asked for.
-As many bigrams can be that frequent; their counts are told to every task too, and they are scored where they are read.
-A repeated row or text counts as often as it occurs.
-
-Defined results: a text of no or one word has no bigram: n_scored 0, log_score 0, mean null. Rows with a null doc_id are
-scored together as one document of that id. A document that repeats a doc_id is scored with the others of that id.
-Other columns don't matter. Hashes of two different words agree with probability 2**-64 per pair: among 50 million words
-that any two do has a probability below 1e-4. N-grams are of order two only, and a text's first word has no term.
+    log S(w | context) = log count(context w) - log count(context .)     where count(context w) >= CUTOFF
+                       = log BACKOFF + log S(w | shorter context)        otherwise
+    log S(w)           = log count(w) - log words
+
+Words are 64-bit hashes, longer contexts a hash of theirs. Each word of a document is exploded into a row (document, word,
+contexts). For each order above two the rows are partitioned by the hash of the context, for bigrams by that of the word, so
+that a partition holds the counts of its n-grams, and of their contexts or words, next to the rows that ask for them: both
+counts are joined to the rows as windows over that one shuffle. Counts of frequent words are broadcast; what needs the count
+of another context is joined to the table of words. Scores are summed per document, before and after each shuffle.
+
+Frequent words would make a few partitions hot. Words, contexts and n-grams that would fill more than HOT_SHARE of a
+partition of ``width`` are counted first; there are at most width / HOT_SHARE of each by arithmetic, so these tables are broadcast. The rows of a hot
+key are partitioned by the n-gram instead, those of a hot n-gram are salted by their place, and both take their counts from
+the broadcast tables.
+
+Defined results: a text of no or one word has no term: n_scored 0, log_score 0, mean null. A text's first word has no term. Rows
+with a null doc_id are scored together as one document of that id. A document that repeats a doc_id is scored with the others
+of that id. A repeated row or text counts as often as it occurs. Other columns don't matter. Hashes of two different words
+agree with probability 2**-64 per pair: among 50 million words that any two do has a probability below 1e-4.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import math
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyway.llm.tables import cut
-from tallyway.llm.text import words
+from tallyway.llm.tables import cut, stored
+from tallyway.llm.text import word_hashes, words
 
+ORDER = 2
 CUTOFF = 2
 BACKOFF = 0.4
-#: Bigrams that a partition of the tables gets, on average.
-PER_PART = 2_000_000
-#: A word with more than this share of a partition's bigrams is hot.
+#: Rows that a partition gets, on average, where the session's shuffle partitions would get more.
+PER_PART = 4_000_000
+#: Words whose counts, and numbers instead of hashes, every task is told at most, unless partitions are still more.
+TOLD = 500_000
+#: What has more than this share of a partition's rows is hot.
 HOT_SHARE = 0.25
 
-#: Words of texts that are packed at once.
-AT_ONCE = 300_000
-
-_BINARY = ("names", "docs", "times", "sizes", "keys", "firsts", "spans")
-MOVED = pa.schema([("part", pa.int32()), ("kind", pa.int8()), *[(c, pa.binary()) for c in _BINARY]])
-MOVED_SQL = "part int, kind tinyint, " + ", ".join(f"{c} binary" for c in _BINARY)
-#: Kinds of packed rows: words with their counts, words or bigrams asked for, sums of documents.
-TABLE, ASKED, SUMS = 0, 1, 2
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
-
-
-def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of each word or document."""
-    return (mix(codes.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-
-
-def joint(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """A number for each bigram, to deal bigrams out; bigrams themselves are told apart by both words."""
-    return mix(u.view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15) * v.view(np.uint64)
-
-
-def coded(docs: DataFrame) -> DataFrame:
-    """doc_id and the codes of the whole text's words, in order."""
-    codes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    return docs.select("doc_id", codes.alias("codes"))
 
+def context(order: int) -> str:
+    """The column with a hash of the ``order - 1`` words before; null where there are fewer."""
+    return f"c{order}"
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers below 2**32 by byte: all lowest bytes, then all next ones, so that small numbers compress."""
-    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
+def terms(docs: DataFrame, order: int) -> DataFrame:
+    """A row for each word: doc_id, at (its place), w and its contexts of every order."""
+    h = F.col("h")
+    none = lambda n: F.array(*[F.lit(None).cast("bigint")] * n)
+    before = [F.concat(none(j), F.slice(h, 1, F.greatest(F.size("h") - j, F.lit(0)))).alias(f"p{j}") for j in range(1, order)]
+    zipped = F.slice(F.arrays_zip(h.alias("w"), *before), 1, F.size("h"))
+    coded = docs.select("doc_id", word_hashes(words(F.col("text"))).alias("h"))
+    each = coded.select("doc_id", F.posexplode(zipped).alias("at", "x")).select("doc_id", "at", "x.*")
+    longer = [F.when(F.col(f"p{k - 1}").isNotNull(), F.xxhash64(*[f"p{j}" for j in range(1, k)])).alias(context(k)) for k in range(3, order + 1)]
+    return each.select("doc_id", "at", "w", F.col("p1").alias("c2"), *longer)
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
+def numbered(rows: DataFrame, told: DataFrame, *names: str) -> DataFrame:
+    """The hashes of frequent words in columns ``names`` replaced by numbers."""
+    for name in names:
+        number = F.broadcast(told.select(F.col("word").alias(name), "number"))
+        rows = rows.join(number, name, "left").withColumn(name, F.coalesce("number", name)).drop("number")
+    return rows
 
-def packed(part: int, kind: int, names: np.ndarray, keys: np.ndarray, **counts: np.ndarray) -> dict:
-    firsts = counts.pop("firsts", None)
-    return {
-        "part": part, "kind": kind, "names": names.tobytes(), "keys": keys.tobytes(),
-        "firsts": None if firsts is None else firsts.tobytes(), **{c: planes(x) for c, x in counts.items()},
-    }
 
+def failed(contexts: list[str]) -> Column:
+    """How many of the contexts a row has: it backs off from each."""
+    return sum((F.col(c).isNotNull().cast("int") for c in contexts), F.lit(0))
 
-def changes(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before in any of the columns."""
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
 
+def frequent(rows: DataFrame, c: str, hot: DataFrame, bound: float) -> tuple[DataFrame, DataFrame]:
+    """Broadcast tables of the hot contexts ``c`` (with all their rows counted) and of the hot n-grams.
 
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of equal neighbours."""
-    starts = changes(values)
-    return starts, lengths(starts, len(values))
-
-
-def lengths(starts: np.ndarray, end: int) -> np.ndarray:
-    return np.diff(np.concatenate([starts, [end]]))
-
-
-def by_part(part: np.ndarray, first: np.ndarray | None, key: np.ndarray, doc: np.ndarray, times: np.ndarray) -> Iterator[dict]:
-    """Packs what is asked by partition: each first word, each of its second words and each document of these once, with its count.
-
-    Without ``first``, keys are words.
+    The last word of a hot context and that of a hot n-gram are hot words themselves, so only those are looked at.
     """
-    order = np.lexsort((doc, key, part) if first is None else (doc, key, first, part))
-    part, key, doc, times = part[order], key[order], doc[order], times[order]
-    both = (part, key) if first is None else (part, first := first[order], key)
-    del order
-    once = changes(*both, doc)
-    if len(once):
-        times = np.add.reduceat(times, once)
-    part, key, doc = part[once], key[once], doc[once]
-    first = None if first is None else first[once]
-    for a, n in zip(*runs(part), strict=True):
-        names, at = np.unique(doc[a : a + n], return_inverse=True)
-        own, more = key[a : a + n], {}
-        kinds = changes(own) if first is None else changes(first[a : a + n], own)
-        if first is not None:
-            firsts = first[a : a + n][kinds]
-            starts, spans = runs(firsts)
-            more = {"firsts": firsts[starts], "spans": spans}
-        yield packed(int(part[a]), ASKED, names, own[kinds], docs=at, times=times[a : a + n], sizes=lengths(kinds, n), **more)
-
-
-def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, the number of documents of each, and these documents with their counts."""
-    names = np.frombuffer(row["names"], np.int64)
-    return np.frombuffer(row["keys"], np.int64), from_planes(row["sizes"]), names[from_planes(row["docs"])], from_planes(row["times"])
-
-
-def lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the ``asked`` among sorted ``keys``, and which were there."""
-    if not len(keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return values[at], keys[at] == asked
-
-
-def sums_by(docs: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    names, at = np.unique(docs, return_inverse=True)
-    return names, [np.bincount(at, v, len(names)) for v in values]
-
+    last = F.broadcast(hot.select(F.col("number").alias("c2")))
+    ends = F.broadcast(hot.select(F.col("number").alias("w"), F.lit(True).alias("often")))
+    some = rows.filter(F.col(c).isNotNull()).join(last, "c2", "left_semi").join(ends, "w", "left")
+    counted = cut(some.groupBy(c, F.when(F.col("often"), F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n")))
+    contexts = counted.groupBy(c).agg(F.sum("n").alias("told_context")).filter(F.col("told_context") > bound)
+    grams = counted.filter(F.col("w").isNotNull() & (F.col("n") > bound)).select(c, "w", F.col("n").alias("told_gram"))
+    return F.broadcast(contexts), F.broadcast(grams)
 
-def sums_home(docs: np.ndarray, values: np.ndarray, scored: np.ndarray, parts: int) -> Iterator[dict]:
-    """Sums by document, packed for the partition that is the document's home."""
-    names, (sums, counts) = sums_by(docs, values, scored)
-    home = part_of(names, parts)
-    order = np.argsort(home, kind="stable")
-    names, both, home = names[order], np.stack([sums, counts], 1)[order], home[order]
-    for a, k in zip(*runs(home), strict=True):
-        yield packed(int(home[a]), SUMS, names[a : a + k], both[a : a + k])
 
+def dealt(rows: DataFrame, keep: list[str], key: str, other: str, hot: DataFrame, grams: DataFrame, width: int) -> DataFrame:
+    """``rows`` partitioned by ``key``, with the counts of (key, other) and of the key as ``n_gram`` and ``n_key``.
 
-#: Stands for a null doc_id while packed.
-NO_ID = np.iinfo(np.int64).min
-
-
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of each partition number; input is sorted by it."""
-    now, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != now and held:
-                yield now, held
-                held = []
-            now = row["part"]
-            held.append(row)
-    if held:
-        yield now, held
-
-
-def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First words, second words and documents of the bigrams of a batch of ``coded``, some texts at a time."""
-    column = batch.column("codes")
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
-    ids = batch.column("doc_id").fill_null(int(NO_ID)).to_numpy()
-    a = 0
-    while a < len(ids):
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + AT_ONCE, side="right")) - 1)
-        own, text = flat[ends[a] : ends[b]], np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))
-        pair = text[1:] == text[:-1]
-        yield own[:-1][pair], own[1:][pair], ids[text[:-1][pair]]
-        a = b
-
-
-@dataclass
-class Frequent:
-    """What every task is told: words that would be hot (sorted), how often they occur and are a first word, and hot bigrams."""
-
-    tokens: int
-    parts: int
-    words: np.ndarray
-    counts: np.ndarray
-    contexts: np.ndarray
-    firsts: np.ndarray  # of hot bigrams, as places in words
-    seconds: np.ndarray
-    pairs: np.ndarray
-
-    def backed(self, counts: np.ndarray) -> np.ndarray:
-        return np.log(BACKOFF) + np.log(np.maximum(counts, 1)) - np.log(self.tokens)
-
-    def scores(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The scores of those bigrams that are hot, and which were."""
-        if not len(self.pairs):
-            return np.zeros(len(u)), np.zeros(len(u), bool)
-        size = len(self.words)
-        ids = np.arange(size)
-        (i, known), (j, also) = lookup(self.words, ids, u), lookup(self.words, ids, v)
-        n, is_hot = lookup(self.firsts * size + self.seconds, self.pairs, i * size + j)
-        hit = np.log(np.maximum(n, 1)) - np.log(np.maximum(self.contexts[i], 1))
-        return np.where(n >= CUTOFF, hit, self.backed(self.counts[j])), is_hot & known & also
-
-
-def frequent(texts: DataFrame, counts: DataFrame) -> Frequent:
-    """``counts(code, n)`` are those of all words of ``texts``.
-
-    A bigram is hot above the same bound as a word. Both of its words are then hot too, so only pairs of hot words are counted.
+    Keys in ``hot`` are partitioned by ``other`` too, so that ``n_key`` means nothing for them; rows without a key, and
+    those of hot n-grams, are dealt out by their place, so that neither count means anything for them.
     """
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-tokens // PER_PART))
-    bound = HOT_SHARE * max(tokens, 1) / parts
-    # At most parts / HOT_SHARE words can be so frequent, and as many bigrams.
-    hot = counts.filter(F.col("n") > bound).orderBy("code").collect() if parts > 1 else []
-    codes, n = np.array([r["code"] for r in hot], np.int64), np.array([r["n"] for r in hot], np.int64)
-    contexts, none = np.zeros(len(codes), np.int64), np.zeros(0, np.int64)
-    if not hot:
-        return Frequent(tokens, parts, codes, n, contexts, none, none, none)
-    size = len(codes)
+    named = rows.join(hot.withColumn("is_hot", F.lit(True)), key, "left").join(grams, [key, other], "left")
+    place = F.xxhash64("w", "doc_id", "at")
+    salt = F.when(F.col(key).isNull() | F.col("told_gram").isNotNull(), place).when(F.col("is_hot"), F.coalesce(other, place))
+    # Sorted before the shuffle, equal words stand side by side, and the shuffled blocks compress better.
+    out = named.select(*keep, salt.alias("salt")).sortWithinPartitions(key, other).repartition(width, key, "salt")
+    out = out.withColumn("n_gram", F.count(F.lit(1)).over(Window.partitionBy(key, "salt", other)))
+    return out.withColumn("n_key", F.count(F.lit(1)).over(Window.partitionBy(key, "salt"))).drop("salt")  # on the same sort
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.arange(size)
-        for batch in batches:
-            for u, v, _ in pairs_of(batch):
-                i, known = lookup(codes, ids, u)
-                j, also = lookup(codes, ids, v)
-                # Place ``size`` stands for any second word.
-                kinds, times = np.unique(np.concatenate([i[known] * (size + 1) + size, (i * (size + 1) + j)[known & also]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(times)], ["pair", "n"])
 
-    sums = texts.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    told = sums.filter((F.col("pair") % (size + 1) == size) | (F.col("n") > bound)).orderBy("pair").collect()
-    for r in told:
-        if r["pair"] % (size + 1) == size:
-            contexts[r["pair"] // (size + 1)] = r["n"]
-    both = [r for r in told if r["pair"] % (size + 1) != size]
-    pair = np.array([r["pair"] for r in both], np.int64)
-    return Frequent(tokens, parts, codes, n, contexts, pair // (size + 1), pair % (size + 1), np.array([r["n"] for r in both], np.int64))
+def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, backoff: float = BACKOFF) -> DataFrame:
+    """One row per doc_id of ``docs`` (doc_id, text): doc_id, n_scored, log_score (natural) and mean_log_score.
 
-
-def moved(texts: DataFrame, hot: Frequent) -> DataFrame:
-    """The bigrams of ``coded`` texts as packed rows for the partitions of the table; those that are hot are scored at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for u, v, doc in pairs_of(batch):
-                value, known = hot.scores(u, v)
-                rows = list(sums_home(doc[known], value[known], np.ones(int(known.sum())), hot.parts))
-                u, v, doc = u[~known], v[~known], doc[~known]
-                part = part_of(u, hot.parts)
-                _, is_hot = lookup(hot.words, hot.words, u)
-                part[is_hot] = part_of(joint(u[is_hot], v[is_hot]), hot.parts)
-                rows += by_part(part, u, v, doc, np.ones(len(u), np.int64))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, MOVED)
-
-    return texts.mapInArrow(run, MOVED_SQL)
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """One row per doc_id of ``docs`` (doc_id, text): doc_id, n_scored, log_score (natural) and mean_log_score."""
-    texts = coded(docs)
-    each = texts.select(F.explode("codes").alias("code"))
-    counts = cut(each.groupBy("code").agg(F.count(F.lit(1)).alias("n")))
-    hot = frequent(texts, counts)
-    parts = hot.parts
-
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in groups(batches):
-            sums = [{**r, "part": part} for r in rows if r["kind"] == SUMS]
-            if sums:
-                yield pa.RecordBatch.from_pylist(sums, MOVED)
-            asked = [r for r in rows if r["kind"] == ASKED]
-            rows.clear()
-            if not asked:
-                continue
-            u = np.concatenate([np.repeat(np.frombuffer(r["firsts"], np.int64), from_planes(r["spans"])) for r in asked])
-            v, sizes, doc, times = (np.concatenate(x) for x in zip(*[opened(r) for r in asked], strict=True))
-            asked.clear()
-            own = np.add.reduceat(times, np.cumsum(sizes, dtype=np.int64) - sizes, dtype=np.int64)
-            order = np.lexsort((v, u))
-            kinds = changes(u[order], v[order])
-            n = np.add.reduceat(own[order], kinds)
-            u_kinds, v_kinds = u[order[kinds]], v[order[kinds]]
-            del u, v, own
-            starts, spans = runs(u_kinds)  # sorted by first word
-            told, is_hot = lookup(hot.words, hot.contexts, u_kinds)
-            context = np.where(is_hot, told, np.repeat(np.add.reduceat(n, starts), spans))
-            known, is_hot = lookup(hot.words, hot.counts, v_kinds)
-            value = np.where(n >= CUTOFF, np.log(n) - np.log(np.maximum(context, 1)), hot.backed(known))
-            settled = (n >= CUTOFF) | is_hot
-            at = np.empty(len(order), np.int32)
-            at[order] = np.repeat(np.arange(len(kinds), dtype=np.int32), lengths(kinds, len(order)))
-            at = np.repeat(at, sizes)
-            del order, sizes
-            done = settled[at]
-            summed = list(sums_home(doc[done], value[at[done]] * times[done], times[done], parts))
-            if summed:
-                yield pa.RecordBatch.from_pylist(summed, MOVED)
-            left, doc, times = v_kinds[at[~done]], doc[~done], times[~done].astype(np.int64)
-            del at, done, summed
-            rest = list(by_part(part_of(left, parts), None, left, doc, times))
-            if rest:
-                yield pa.RecordBatch.from_pylist(rest, MOVED)
-
-    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
-            part = part_of(codes, parts)
-            order = np.argsort(part, kind="stable")
-            yield pa.RecordBatch.from_pylist([packed(int(part[order[a]]), TABLE, n[order[a : a + k]], codes[order[a : a + k]]) for a, k in zip(*runs(part[order]), strict=True)], MOVED)
-
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches):
-            tables = [r for r in rows if r["kind"] == TABLE]
-            codes = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in tables]) if tables else np.zeros(0, np.int64)
-            n = np.concatenate([np.frombuffer(r["names"], np.int64) for r in tables]) if tables else np.zeros(0, np.int64)
-            order = np.argsort(codes, kind="stable")
-            codes, n = codes[order], n[order]
-            docs_, values, scored = [], [], []
-            for r in rows:
-                if r["kind"] == ASKED:
-                    asked, sizes, doc, times = opened(r)
-                    count, _ = lookup(codes, n, asked)
-                    docs_.append(doc)
-                    values.append(np.repeat(hot.backed(count), sizes) * times)
-                    scored.append(times.astype(np.float64))
-                elif r["kind"] == SUMS:
-                    both = np.frombuffer(r["keys"], np.float64).reshape(-1, 2)
-                    docs_.append(np.frombuffer(r["names"], np.int64))
-                    values.append(both[:, 0])
-                    scored.append(both[:, 1])
-            if docs_:
-                yield pa.RecordBatch.from_pylist(list(sums_home(np.concatenate(docs_), np.concatenate(values), np.concatenate(scored), parts)), MOVED)
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches):
-            both = np.concatenate([np.frombuffer(r["keys"], np.float64).reshape(-1, 2) for r in rows])
-            names, (sums, counts_) = sums_by(np.concatenate([np.frombuffer(r["names"], np.int64) for r in rows]), both[:, 0], both[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, mask=names == NO_ID), pa.array(counts_.astype(np.int64)), pa.array(sums)], ["doc_id", "n_scored", "log_score"])
-
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = max(1, min(width, parts)) if parts < width else width
-    bigrams = moved(texts, hot).repartition(width, "part").sortWithinPartitions("part").mapInArrow(answered, MOVED_SQL)
-    table = counts.mapInArrow(tabled, MOVED_SQL)
-    sent = bigrams.unionByName(table).repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(finished, MOVED_SQL)
-    parts_ = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(home, "doc_id long, n_scored long, log_score double")
-    scored = parts_.unionByName(docs.select("doc_id", F.lit(0).cast("bigint").alias("n_scored"), F.lit(0.0).alias("log_score")))
-    total = scored.groupBy("doc_id").agg(F.sum("n_scored").alias("n_scored"), F.sum("log_score").alias("log_score"))
+    ``order`` is that of the longest n-grams, two or more.
+    """
+    if order < 2:
+        raise ValueError("the order is at least two")
+    each = docs.select(words(F.col("text")).alias("x")).select(F.size("x").alias("size"), F.posexplode("x").alias("at", "word"))
+    last = F.sum((F.col("at") + 1 == F.col("size")).cast("int"))
+    table = cut(each.groupBy(F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("total"), last.alias("ends")))
+    table = table.select("word", "total", (F.col("total") - F.col("ends")).alias("m"))
+    tokens = table.agg(F.sum("total")).first()[0] or 0
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PER_PART))
+    bound = HOT_SHARE * tokens / width
+    # At most TOLD words are so frequent, or width / HOT_SHARE. Numbers are shorter than hashes where rows are shuffled.
+    told = table.filter(F.col("total") > min(tokens / TOLD, bound))
+    told = cut(told.select("word", "total", "m", (F.row_number().over(Window.orderBy(F.desc("total"), "word"))).cast("bigint").alias("number")))
+    hot = cut(told.filter(F.col("total") > bound))
+
+    rows = numbered(terms(docs, order), told, "w", "c2")
+    contexts = [context(k) for k in range(2, order + 1)]
+    step = F.lit(math.log(backoff))
+    for k in range(order, 2, -1):
+        c = context(k)
+        heavy, grams = frequent(rows, c, hot, bound)
+        met = dealt(rows, rows.columns, c, "w", heavy.select(c), grams, width).join(heavy, c, "left").join(grams, [c, "w"], "left")
+        n, m = F.coalesce("told_gram", "n_gram"), F.coalesce("told_context", "n_key")
+        own = F.when(F.col(c).isNotNull() & (n >= cutoff), F.log(n) - F.log(m) + step * failed(contexts[k - 1 :]))
+        value = own if k == order else F.coalesce("value", own)
+        rows = met.select("doc_id", "at", "w", *contexts, value.alias("value"))
+
+    # Bigrams are partitioned by their second word, whose own count is then at hand. The counts of frequent words are told to
+    # every task; what needs that of another first word keeps asking for it, the rest is summed by document at once.
+    _, grams = frequent(rows, "c2", hot, bound)
+    keep = [x for x in rows.columns if x != "at"]
+    met = dealt(rows, keep, "w", "c2", F.broadcast(hot.select(F.col("number").alias("w"))), grams, width).filter(F.col("c2").isNotNull())
+    met = met.join(grams, ["c2", "w"], "left").join(F.broadcast(told.select(F.col("number").alias("w"), "total")), "w", "left")
+    met = met.join(F.broadcast(told.select(F.col("number").alias("c2"), "m")), "c2", "left")
+    n = F.coalesce("told_gram", "n_gram")
+    backed = F.log(F.coalesce("total", "n_key")) - math.log(max(tokens, 1)) + step
+    own = F.when(n >= cutoff, F.log(n) - F.coalesce(F.log("m"), F.lit(0.0))).otherwise(backed) + step * failed(contexts[1:])
+    value, asks = (own, F.lit(True)) if order == 2 else (F.coalesce("value", own), F.col("value").isNull())
+    word = F.when(asks & (n >= cutoff) & F.col("m").isNull(), F.col("c2"))
+    sums = met.select("doc_id", word.alias("word"), value.alias("value")).groupBy("doc_id", "word").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    sums = stored(sums, "scores")
+    rare = sums.filter("word IS NOT NULL").join(table, "word").select("doc_id", (F.col("value") - F.col("n") * F.log("m")).alias("value"), "n")
+    parts = sums.filter("word IS NULL").select("doc_id", "value", "n").union(rare).select("doc_id", F.col("n").alias("n_scored"), F.col("value").alias("log_score"))
+    none = docs.select("doc_id", F.lit(0).cast("bigint").alias("n_scored"), F.lit(0.0).alias("log_score"))
+    total = parts.union(none).groupBy("doc_id").agg(F.sum("n_scored").alias("n_scored"), F.sum("log_score").alias("log_score"))
     return total.withColumn("mean_log_score", F.when(F.col("n_scored") > 0, F.col("log_score") / F.col("n_scored")))

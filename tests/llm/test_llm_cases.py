@@ -300,66 +300,77 @@ def test_probes_come_in_falling_chance():
 # ------------------------------------------------------- language model, sites
 
 
-def test_backoff_scores(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "PER_PART", 5_000)
-    rows = docs.limit(120).unionByName(awkward(spark).select(docs.columns))
-    held = defaultdict(list)
-    for r in rows.collect():
-        held[r["doc_id"]].append(words(r["text"]))
-    texts = [w for group in held.values() for w in group]
-    one, two, first = Counter(x for w in texts for x in w), Counter(p for w in texts for p in zip(w, w[1:])), Counter(x for w in texts for x in w[:-1])
-    total = sum(one.values())
-    got = {r["doc_id"]: r for r in lm_scoring.score(rows).collect()}
-    assert set(got) == set(held)
-    off = 0
-    for i, group in held.items():
-        want = sum(math.log(two[p] / first[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / total) for w in group for p in zip(w, w[1:]))
-        assert got[i]["n_scored"] == sum(max(0, len(w) - 1) for w in group)
-        off += abs(got[i]["log_score"] - want) > 1e-6 * max(1, abs(want))
-    assert off <= 3  # words whose 32-bit codes agree by chance
-    assert lm_scoring.score(empty(spark)).count() == 0
-
-
-def backoff_by_hand(rows):
-    texts = [words(t) for _, t in rows]
-    one, two, first = Counter(x for w in texts for x in w), Counter(p for w in texts for p in zip(w, w[1:])), Counter(x for w in texts for x in w[:-1])
-    total = sum(one.values())
-    return {i: sum(math.log(two[p] / first[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / total) for p in zip(w, w[1:])) for (i, _), w in zip(rows, texts)}
-
-
-def test_hot_bigram_is_not_sent_to_one_partition(spark, monkeypatch):
+def backoff_by_hand(rows, order=2, cutoff=2):
+    """Scores by document, and how many terms each has; rows that share an id are scored together."""
+    texts = [(i, words(t)) for i, t in rows]
+    n = Counter(tuple(w[a : a + k]) for _, w in texts for k in range(1, order + 1) for a in range(len(w) - k + 1))
+    m = Counter(tuple(w[a : a + k]) for _, w in texts for k in range(1, order) for a in range(len(w) - k))
+    tokens, sums, terms = sum(len(w) for _, w in texts), defaultdict(float), Counter()
+    for i, w in texts:
+        sums[i] += 0.0
+        for a in range(1, len(w)):
+            terms[i] += 1
+            for k in range(min(order, a + 1), 0, -1):
+                gram = tuple(w[a - k + 1 : a + 1])
+                if k == 1:
+                    sums[i] += math.log(n[gram] / tokens)
+                elif n[gram] >= cutoff:
+                    sums[i] += math.log(n[gram] / m[gram[:-1]])
+                    break
+                else:
+                    sums[i] += math.log(0.4)
+    return sums, terms
+
+
+def assert_backoff(spark, docs_, order=2):
+    want, terms = backoff_by_hand([(r["doc_id"], r["text"]) for r in docs_.select("doc_id", "text").collect()], order)
+    got = lm_scoring.score(docs_, order).collect()
+    assert {r["doc_id"]: r["n_scored"] for r in got} == {i: terms[i] for i in want} and len(got) == len(want)
+    assert all(r["log_score"] == pytest.approx(want[r["doc_id"]], rel=1e-9, abs=1e-9) for r in got)
+    assert all(r["mean_log_score"] is None if not r["n_scored"] else r["mean_log_score"] == pytest.approx(r["log_score"] / r["n_scored"]) for r in got)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_backoff_scores(spark, docs, order):
+    assert_backoff(spark, docs.limit(120).unionByName(awkward(spark).select(docs.columns)), order)
+    assert lm_scoring.score(empty(spark), order).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_few_words_are_told(spark, docs, order, monkeypatch):
+    """Nearly all words are looked up in the table, as most are where the vocabulary is large."""
+    monkeypatch.setattr(lm_scoring, "TOLD", 50)
+    monkeypatch.setattr(lm_scoring, "HOT_SHARE", 0.02)
+    assert_backoff(spark, docs.limit(120).unionByName(awkward(spark).select(docs.columns)), order)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_hot_bigram_is_not_sent_to_one_partition(spark, order, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PER_PART", 2_000)
     draw = random.Random(3)
     rows = [(i, "the the the the " * 8 + " ".join(f"w{draw.randrange(3000)}" for _ in range(32))) for i in range(400)]
     docs_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    texts = lm_scoring.coded(docs_)
-    hot = lm_scoring.frequent(texts, texts.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")))
-    held = Counter()
-    for r in lm_scoring.moved(texts, hot).filter(f"kind = {lm_scoring.ASKED}").collect():
-        held[r["part"]] += int(lm_scoring.from_planes(r["times"]).sum())
-    assert len(held) == hot.parts > 8 and max(held.values()) < 2 * lm_scoring.PER_PART
-    want = backoff_by_hand(rows)
-    got = lm_scoring.score(docs_).collect()
-    assert len(got) == 400 and all(r["n_scored"] == 63 and r["log_score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in got)
+    sent, deal = [], lm_scoring.dealt
+
+    def dealt(*args):
+        out = deal(*args)
+        sent.append([r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()])
+        return out
+
+    monkeypatch.setattr(lm_scoring, "dealt", dealt)
+    assert_backoff(spark, docs_, order)
+    assert len(sent) == order - 1 and all(len(n) > 8 and max(n) < 2 * lm_scoring.PER_PART for n in sent)
 
 
 def test_words_that_share_half_a_hash_are_counted_apart(spark):
     made = spark.range(400_000).select(F.format_string("w%d", "id").alias("w"))
     shared = made.groupBy(F.shiftright(F.xxhash64("w"), 32).alias("half")).agg(F.sort_array(F.collect_list("w")).alias("same")).filter("size(same) > 1").orderBy("half").first()
     a, b = shared["same"][:2]
-    rows = [(1, f"x {a} x {a} y"), (2, f"x {b} z {a}"), (3, f"q {b} r")]
-    want = backoff_by_hand(rows)
-    got = {r["doc_id"]: r["log_score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == pytest.approx(want, rel=1e-9)
-
-
-def test_no_given_document_is_scored_wrong(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "PER_PART", 50_000)
-    docs_ = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
-    want = backoff_by_hand([tuple(r) for r in docs_.collect()])
-    got = {r["doc_id"]: r["log_score"] for r in lm_scoring.score(docs_).collect()}
-    assert set(got) == set(want)
-    assert not [i for i, x in want.items() if abs(got[i] - x) > 1e-6 * max(1, abs(x))]
+    assert_backoff(spark, spark.createDataFrame([(1, f"x {a} x {a} y"), (2, f"x {b} z {a}"), (3, f"q {b} r")], "doc_id long, text string"))
+
+
+def test_no_given_document_is_scored_wrong(spark):
+    assert_backoff(spark, load(spark, "/root/testdata/sf0.01", "documents"))
 
 
 def test_sites_and_held_out_accuracy(spark):
