@@ -40,7 +40,7 @@ SLACK = 1e-6
 #: Darts expected beyond k ln k, as a multiple of k: so few sketches need a second, longer throw.
 EXTRA = 3.0
 #: Darts held at once while a batch is sketched.
-AT_ONCE = 1_000_000
+AT_ONCE = 250_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

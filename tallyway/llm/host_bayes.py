@@ -41,8 +41,12 @@ SMOOTH = 1.0
 TEMPER = 0.7
 #: Strength of shrinking, in documents: its least and most.
 WEAKEST, STRONGEST = 2.0, 10_000.0
-#: Least posterior of a document that is kept: losing a good one costs more than keeping a bad one.
-KEEP = 0.1
+#: Keeping a bad document costs one; losing a good one costs this.
+LOSS = 3.0
+#: Least posterior of a document that is kept where no labels tell it, and between which bounds labels may put it.
+KEEP, LEAST, MOST = 0.1, 0.02, 0.98
+#: Steps of log odds in which the threshold is looked for.
+STEPS = 5
 
 
 @dataclass(frozen=True)
@@ -70,9 +74,8 @@ def measured(docs: DataFrame, host: Column, path: Column) -> DataFrame:
 
 def learnt(rows: DataFrame, labels: DataFrame) -> Evidence:
     """Counts (feature, bin, label) over all labelled rows: at most as many rows as there are bins reach the driver."""
-    told = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b")) for f in FEATURES])
-    each = rows.join(told, "doc_id").select("quality", F.explode(pairs).alias("x"))
+    each = rows.join(told(labels), "doc_id").select("quality", F.explode(pairs).alias("x"))
     counts = {(r["f"], r["b"], r["quality"]): r["n"] for r in each.groupBy("quality", F.col("x.f").alias("f"), F.col("x.b").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     first = next(iter(FEATURES))
     good, bad = (sum(n for (f, _, q), n in counts.items() if f == first and (q > 0) == y) for y in (True, False))
@@ -114,6 +117,30 @@ def spread(groups: DataFrame, around: Column) -> tuple[float | None, float | Non
     return (row["v"] / row["n"], row["e"] / row["n"]) if row["n"] else (None, None)
 
 
+def threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """The posterior from which keeping labelled documents costs least; of equal ones the lowest.
+
+    Labelled rows are counted by steps of their log odds, so that a few hundred rows reach the driver.
+    """
+    step = F.floor(odds(F.least(F.greatest(F.col("p_quality"), F.lit(LEAST)), F.lit(MOST))) * STEPS).alias("step")
+    rows = scored.join(told(labels), "doc_id").groupBy(step).agg(F.sum((F.col("quality") > 0).cast("int")).alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    steps = sorted((r["step"], r["good"], r["n"] - r["good"]) for r in rows)
+    if not steps:
+        return KEEP
+    cost = bad = sum(b for _, _, b in steps)
+    best, lost = steps[0][0], 0
+    for k, (_, g, b) in enumerate(steps[:-1]):
+        lost, bad = lost + g, bad - b
+        if LOSS * lost + bad < cost:
+            cost, best = LOSS * lost + bad, steps[k + 1][0]
+    return min(MOST, max(LEAST, 1 / (1 + math.exp(-best / STEPS))))
+
+
+def told(labels: DataFrame) -> DataFrame:
+    """One label for each doc_id, the better one where they differ."""
+    return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """One row per row of ``docs``: doc_id, evidence, host_posterior, path_posterior, p_quality and kept."""
     rows = cut(measured(docs, host, path))
@@ -132,8 +159,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     scored = own.join(sites, ["host", "path"])
     others = (F.col("s") - alone + of_path * F.col("host_posterior")) / (F.col("n") - 1 + of_path)
     bounded = F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return scored.select(
+    posterior = scored.select(
         "doc_id", "evidence", "host_posterior",
         ((F.col("s") + of_path * F.col("host_posterior")) / (F.col("n") + of_path)).alias("path_posterior"),
         chance(odds(bounded) + F.col("evidence")).alias("p_quality"),
-    ).withColumn("kept", F.col("p_quality") >= KEEP)
+    )
+    return posterior.withColumn("kept", F.col("p_quality") >= threshold(posterior, labels))

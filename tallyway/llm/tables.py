@@ -9,8 +9,8 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (long) keys up to which a side is broadcast after it has been counted; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a side is broadcast after it has been measured; beyond, Spark shuffles both sides.
+BROADCAST_BYTES = 32 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. On one machine alone it may be unset; then it is temporary."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -47,9 +50,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows at most ``rows`` rows (callers pass one or two narrow columns)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its values have ``most`` bytes at most; one aggregate measures them."""
+    sizes = {"string": lambda c: F.octet_length(c), "binary": lambda c: F.octet_length(c), "array": lambda c: 8 * F.greatest(F.size(c), F.lit(0))}
+    width = sum((F.coalesce(sizes.get(f.dataType.typeName(), lambda c: F.lit(0))(F.col(f.name)), F.lit(0)) + 8 for f in df.schema), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("bigint")).alias("n")).first()["n"] or 0) <= most else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyway.llm.tables import cut, fresh, let
+from tallyway.llm.tables import cut, fresh, let, stored
 from tallyway.llm.text import stripped_of, whole, window_hashes, word_hashes, words
 
 SYMBOLS = "[^#*$%&|<>]+"
@@ -215,10 +215,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all its columns.
 
-    Two scans instead of a join: the first counts vote patterns, the second filters each row by its own text, so
-    texts aren't shuffled and rows without an id or with a repeated one need no key.
+    Each text is measured once: rows and votes are written next to each other, so that texts aren't shuffled and rows without
+    an id or with a repeated one need no key. Vote patterns are counted on the written votes.
     """
-    model = fit(counted(measured(docs)))
     row, m = fresh(docs, "row"), "measured"
     inner = docs.select(F.struct("*").alias(row), measures(F.col("text")).alias(m)).select(row, *flat(m))
-    return judged(inner.select("*", *votes()), model).filter("kept").select(f"{row}.*")
+    voted = stored(inner.select("*", *votes()), "votes")
+    return judged(voted, fit(counted(voted))).filter("kept").select(f"{row}.*")
