@@ -19,8 +19,9 @@ OP5 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, source, coalesc
 base AS ({' UNION ALL '.join(_located(i, *k) for i, k in enumerate(_KINDS[:3]))}),
 wide AS (SELECT * FROM ({_located(3, *_KINDS[3])}) w WHERE len(regexp_replace(value,'[^0-9]+','','g'))>=4 AND len(regexp_replace(value,'[^A-Za-z]+','','g'))>=4 AND len(list_distinct(string_split(value,'')))>=10
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid=w.rid AND b.start<w.stop AND w.start<b.stop)),
-owners AS (SELECT value, count(DISTINCT coalesce(source,chr(1))) AS n FROM (SELECT value, source FROM base UNION ALL SELECT value, source FROM wide) GROUP BY value),
-live AS (SELECT w.* FROM wide w JOIN owners o ON o.value=w.value WHERE o.n<3),
+held AS (SELECT DISTINCT value, coalesce(source,chr(1)) AS owner, doc_id FROM (SELECT value, source, doc_id FROM base UNION ALL SELECT value, source, doc_id FROM wide)),
+owners AS (SELECT value, count(DISTINCT owner) AS n, count(*) AS repositories FROM held GROUP BY value),
+live AS (SELECT w.* FROM wide w JOIN owners o ON o.value=w.value WHERE o.n<3 AND o.repositories<20),
 b AS (SELECT rid, count(*) FILTER (WHERE rank=0) AS a, count(*) FILTER (WHERE rank=1) AS c, count(*) FILTER (WHERE rank=2) AS h, string_agg(kind||':'||start||':'||stop, ',' ORDER BY start, rank) AS s FROM base GROUP BY rid),
 e AS (SELECT rid, string_agg(kind||':'||start||':'||stop, ',' ORDER BY start, rank) AS s, count(*) FILTER (WHERE rank=3) AS o FROM (SELECT rid, kind, rank, start, stop FROM base UNION ALL SELECT rid, kind, rank, start, stop FROM live) GROUP BY rid)
 SELECT doc_id, coalesce(a,0) AS n_assign, coalesce(c,0) AS n_access, coalesce(h,0) AS n_hex, sha256(coalesce(b.s,'')) AS base_sha256, coalesce(e.s,'') AS spans, coalesce(o,0) AS n_owned

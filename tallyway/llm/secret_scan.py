@@ -28,8 +28,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Whole runs of token letters, of 20 or more.
 WIDE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
 KINDS = ("assign", "access", "hex", "owned")
-#: From so many owners on, a value is an example that people copy.
-EXAMPLE_OWNERS = 3
+#: From so many owners or repositories on, a value is an example that people copy.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
 BARE = "array<struct<start:int,rank:int,end:int>>"
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -97,10 +97,15 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
+def copied() -> Column:
+    """Whether owners and repositories are so many that the value of a row of ``ownership`` is an example."""
+    return (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
+
+
 def findings(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """One row per span: doc_id, row_key, kind, start, end, value_hash, n_repositories, n_owners and verdict.
 
-    verdict: ``example`` from EXAMPLE_OWNERS owners on, else ``live``. Wide candidates are there with either verdict;
+    verdict: ``example`` from EXAMPLE_OWNERS owners or EXAMPLE_REPOSITORIES repositories on, else ``live``. Wide candidates are there with either verdict;
     only the live ones are finds.
     """
     return findings_of(cut(scanned(docs, owner, repository)))
@@ -113,7 +118,7 @@ def findings_of(found: DataFrame) -> DataFrame:
     return rows.join(counts, "value_hash").select(
         "doc_id", "row_key", F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1).alias("kind"), "start", "end", "rank",
         "value_hash", "n_repositories", "n_owners",
-        F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").otherwise("live").alias("verdict"),
+        F.when(copied(), "example").otherwise("live").alias("verdict"),
     )
 
 
@@ -121,7 +126,7 @@ def added(found: DataFrame) -> DataFrame:
     """row_key and its ``owned`` spans: wide candidates that prove live."""
     wide = found.filter(F.size("wide") > 0).select("row_key", F.explode("wide").alias("span"))
     rows = wide.select("row_key", "span.start", "span.rank", "span.end", F.xxhash64("span.value").alias("value_hash")).distinct()
-    live = small(cut(ownership(found).filter(F.col("n_owners") < EXAMPLE_OWNERS).select("value_hash")))
+    live = small(cut(ownership(found).filter(~copied()).select("value_hash")))
     one = F.struct("start", "rank", "end")
     return rows.join(live, "value_hash", "left_semi").groupBy("row_key").agg(F.collect_list(one).alias("owned"))
 

@@ -164,6 +164,9 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert got[10] == "owned:3:23" and got[0] == ""
     told = {(r["doc_id"], r["verdict"], r["n_owners"]) for r in secret_scan.findings(table(spark, rows)).collect()}
     assert (10, "live", 1) in told and (0, "example", 5) in told
+    many = [(i, f"the {live} value", "en", "s0") for i in range(secret_scan.EXAMPLE_REPOSITORIES)]
+    assert all(r["spans"] == "" for r in secret_scan.secrets(table(spark, many)).collect())
+    assert all(r["spans"] for r in secret_scan.secrets(table(spark, many[1:])).collect())
     masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(table(spark, rows)).collect()}
     assert masked[10] == "my [secret] value" and masked[0] == f"see {example} here"
 
