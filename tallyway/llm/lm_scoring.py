@@ -82,8 +82,18 @@ def frequent(rows: DataFrame, c: str, hot: DataFrame, bound: float) -> tuple[Dat
     some = rows.filter(F.col(c).isNotNull()).join(last, "c2", "left_semi").join(ends, "w", "left")
     counted = cut(some.groupBy(c, F.when(F.col("often"), F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n")))
     contexts = counted.groupBy(c).agg(F.sum("n").alias("told_context")).filter(F.col("told_context") > bound)
-    grams = counted.filter(F.col("w").isNotNull() & (F.col("n") > bound)).select(c, "w", F.col("n").alias("told_gram"))
-    return F.broadcast(contexts), F.broadcast(grams)
+    return F.broadcast(contexts), hot_grams(counted.filter(F.col("w").isNotNull()), c, bound)
+
+
+def frequent_pairs(rows: DataFrame, hot: DataFrame, bound: float) -> DataFrame:
+    """The broadcast table of the hot bigrams: only pairs of hot words are counted."""
+    first, second = (F.broadcast(hot.select(F.col("number").alias(name))) for name in ("c2", "w"))
+    pairs = rows.join(second, "w", "left_semi").join(first, "c2", "left_semi")
+    return hot_grams(cut(pairs.groupBy("c2", "w").agg(F.count(F.lit(1)).alias("n"))), "c2", bound)
+
+
+def hot_grams(counted: DataFrame, c: str, bound: float) -> DataFrame:
+    return F.broadcast(counted.filter(F.col("n") > bound).select(c, "w", F.col("n").alias("told_gram")))
 
 
 def dealt(rows: DataFrame, keep: list[str], key: str, other: str, hot: DataFrame, grams: DataFrame, width: int) -> DataFrame:
@@ -134,7 +144,7 @@ def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, backoff: fl
 
     # Bigrams are partitioned by their second word, whose own count is then at hand. The counts of frequent words are told to
     # every task; what needs that of another first word keeps asking for it, the rest is summed by document at once.
-    _, grams = frequent(rows, "c2", hot, bound)
+    grams = frequent_pairs(rows, hot, bound)
     keep = [x for x in rows.columns if x != "at"]
     met = dealt(rows, keep, "w", "c2", F.broadcast(hot.select(F.col("number").alias("w"))), grams, width).filter(F.col("c2").isNotNull())
     met = met.join(grams, ["c2", "w"], "left").join(F.broadcast(told.select(F.col("number").alias("w"), "total")), "w", "left")
