@@ -50,11 +50,30 @@ def bpr_s(free_s: Column, volume: Column, capacity: Column, open_: Column | None
     return cost if open_ is None else F.when(open_, cost).otherwise(model.CLOSED_COST_S)
 
 
+# The spellings of each severity in open crash data.
+KABCO = {5: ("K", "FATAL"), 4: ("A", "SEVERE INJURY"), 3: ("B", "VISIBLE INJURY"), 2: ("C", "NONVISIBLE INJURY"), 1: ("O", "PDO", "PROPERTY DAMAGE")}
+
+
+def named_code(value: Column, names: dict[int, tuple[str, ...]]) -> Column:
+    return F.coalesce(*[F.when(value.isin(*spellings), F.lit(code)) for code, spellings in names.items()])
+
+
+def clamped_severity(value: Column) -> Column:
+    """Rounded; 1 where that isn't 1 to 5."""
+    whole = F.floor(F.coalesce(value.cast("double"), F.lit(0.0)) + 0.5).cast("int")
+    return F.when(whole.between(1, 5), whole).otherwise(1)
+
+
+def counted_weight(value: Column) -> Column:
+    """What a feature stands for: its rounded count, one at least."""
+    return F.greatest(F.floor(F.coalesce(value.cast("double"), F.lit(0.0)) + 0.5).cast("bigint"), F.lit(1).cast("bigint"))
+
+
 def severity(text: Column) -> Column:
-    """1 to 5 from a number, a coded text such as "3: injury", or a KABCO letter; null otherwise."""
+    """1 to 5 from a number, a coded text such as "3: injury", or a KABCO letter or word; null otherwise."""
     trimmed = F.upper(F.trim(text))
     code = F.coalesce(trimmed.try_cast("double"), F.trim(F.split_part(trimmed, F.lit(":"), F.lit(1))).try_cast("double")).cast("int")
-    letters = F.when(trimmed == "K", 5).when(trimmed == "A", 4).when(trimmed == "B", 3).when(trimmed == "C", 2).when(trimmed == "O", 1)
+    letters = named_code(trimmed, KABCO)
     return F.when(code.between(1, 5), code).otherwise(letters)
 
 

@@ -24,6 +24,17 @@ def crash_edges(snapped: DataFrame) -> DataFrame:
     return snapped.filter("edge IS NOT NULL").groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.sum("severity").cast("bigint").alias("severity_sum"), fatal.alias("fatal"))
 
 
+def top_edges(snapped: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` edges with the most crashes; ties: smaller edge."""
+    return snapped.filter("edge IS NOT NULL").groupBy("edge").agg(F.count(F.lit(1)).alias("crashes")).orderBy(F.desc("crashes"), "edge").limit(n)
+
+
+def tile_severities(features: DataFrame) -> DataFrame:
+    """Crashes by clamped severity of ``features(severity, count)``: a cell stands for its count, a point for one."""
+    rows = features.select(roads.clamped_severity(F.col("severity")).alias("severity"), roads.counted_weight(F.col("count")).alias("n"))
+    return rows.groupBy("severity").agg(F.sum("n").alias("crashes"))
+
+
 def by_severity(crashes: DataFrame) -> DataFrame:
     """Crashes of each severity from 1 to 5, zero where there is none."""
     all_ = crashes.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("severity"))

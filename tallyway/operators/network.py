@@ -97,14 +97,19 @@ def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, "node", "left_semi")
 
 
+#: Attributes in which the roads of a chain are alike; those that an edge table has.
+ALIKE = ("class", "lanes", "speed_kph")
+
+
 def degree_two(edges: DataFrame) -> DataFrame:
-    """Per node: neighbours, whether all its roads are alike, and whether it can be taken out of a chain.
+    """Per node: neighbours, whether all its roads are alike in class, lanes and speed, and whether it can be taken out of a chain.
 
     Chains of mixed direction stay: where a node has a road to a neighbour, it has one back, or all its roads run one way.
     """
-    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "class", F.lit(1).alias("out"))
-    ends = ends.union(edges.select(F.col("dst"), F.col("src"), "class", F.lit(0)))
-    per = ends.groupBy("node", "other").agg(F.sum("out").alias("outs"), F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    kind = F.struct(*[c for c in ALIKE if c in edges.columns]).alias("kind")
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), kind, F.lit(1).alias("out"))
+    ends = ends.union(edges.select(F.col("dst"), F.col("src"), kind, F.lit(0)))
+    per = ends.groupBy("node", "other").agg(F.sum("out").alias("outs"), F.count(F.lit(1)).alias("n"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
     seen = per.groupBy("node").agg(
         F.count(F.lit(1)).alias("neighbours"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.min("outs").alias("o1"), F.max("outs").alias("o2"), F.min("n").alias("n1"), F.max("n").alias("n2"),
@@ -117,23 +122,33 @@ def degree_two(edges: DataFrame) -> DataFrame:
 
 
 def simplified(edges: DataFrame) -> DataFrame:
-    """Edges with chains of collapsible nodes merged: src, dst, class, len_m and parts (edges merged).
+    """Edges with chains of collapsible nodes merged: edge (the chain's first), src, dst, the attributes, len_m, parts and shape.
 
-    Pointer doubling: an edge points at the edge that continues it through a collapsible head; each round doubles what an
-    edge spans, so a chain of n edges takes log2 n joins. Rings without an end stay as they are.
+    shape is the chain's nodes in order. Pointer doubling: an edge points at the edge that continues it through a collapsible
+    head; each round doubles what an edge spans, so a chain of n edges takes log2 n joins. In every round some edge of a chain
+    comes to its end, so when none does, what is still open are rings of collapsible nodes alone: those edges stay as they are.
+    A chain that leads back to where it began would be a loop and goes.
     """
+    names = [c for c in ALIKE if c in edges.columns]
     flags = degree_two(edges).filter("collapsible").select("node")
-    inner = cut(edges.select("edge", "src", "dst", "class", "len_m"))
+    inner = cut(edges.select("edge", "src", "dst", *names, "len_m"))
     heads = inner.join(flags.withColumnRenamed("node", "dst"), "dst", "left_semi").select("edge", "src", "dst")
     nexts = inner.join(flags.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("dst"), F.col("edge").alias("next"), F.col("dst").alias("beyond"))
     step = heads.join(nexts, "dst").filter("beyond <> src").select("edge", "next")
-    span = cut(inner.join(step, "edge", "left").select("edge", "src", F.col("dst").alias("last"), "class", "len_m", F.lit(1).cast("bigint").alias("parts"), "next"))
-    while not span.filter("next IS NOT NULL").isEmpty():
-        far = span.select(F.col("edge").alias("next"), F.col("last").alias("f_last"), F.col("len_m").alias("f_len"), F.col("parts").alias("f_parts"), F.col("next").alias("f_next"))
-        grown = span.join(far, "next", "left").select(
-            "edge", "src", F.coalesce("f_last", "last").alias("last"), "class", (F.col("len_m") + F.coalesce("f_len", F.lit(0.0))).alias("len_m"),
-            (F.col("parts") + F.coalesce("f_parts", F.lit(0))).alias("parts"), F.when(F.col("parts") < 1 << 40, F.col("f_next")).alias("next"),
+    own = [F.col("dst").alias("last"), "len_m", F.lit(1).cast("bigint").alias("parts"), F.array("src", "dst").alias("shape")]
+    span = cut(inner.join(step, "edge", "left").select("edge", "src", *own, "next"))
+    left, before = span.filter("next IS NOT NULL").count(), -1
+    while left and left != before:
+        far = span.select(F.col("edge").alias("next"), *[F.col(c).alias(f"f_{c}") for c in ("last", "len_m", "parts", "shape", "next")])
+        span = cut(
+            span.join(far, "next", "left").select(
+                "edge", "src", F.coalesce("f_last", "last").alias("last"), (F.col("len_m") + F.coalesce("f_len_m", F.lit(0.0))).alias("len_m"),
+                (F.col("parts") + F.coalesce("f_parts", F.lit(0))).alias("parts"),
+                F.when(F.col("f_shape").isNull(), F.col("shape")).otherwise(F.concat("shape", F.slice("f_shape", 2, F.size("f_shape")))).alias("shape"), F.col("f_next").alias("next"),
+            )
         )
-        span = cut(grown.withColumn("next", F.when(F.col("last") != F.col("src"), F.col("next"))))
-    ends = inner.join(flags.withColumnRenamed("node", "src"), "src", "left_anti").select("edge")
-    return span.join(ends, "edge", "left_semi").select("edge", "src", F.col("last").alias("dst"), "class", "len_m", "parts")
+        left, before = span.filter("next IS NOT NULL").count(), left
+    starts = inner.join(flags.withColumnRenamed("node", "src"), "src", "left_anti").select("edge")
+    chains = span.join(starts, "edge", "left_semi").filter("next IS NULL AND last <> src").select("edge", "src", F.col("last").alias("dst"), "len_m", "parts", "shape")
+    rings = inner.join(span.filter("next IS NOT NULL").select("edge"), "edge", "left_semi").select("edge", "src", "dst", "len_m", F.lit(1).cast("bigint").alias("parts"), F.array("src", "dst").alias("shape"))
+    return chains.union(rings).join(inner.select("edge", *names), "edge").select("edge", "src", "dst", *names, "len_m", "parts", "shape")

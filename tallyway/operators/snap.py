@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyway.functions import geo
 from tallyway.model import M_PER_DEG_LAT
-from tallyway.operators.iterate import small
+from tallyway.operators.iterate import cut, small
 
 
 def cells(lon: Column, lat: Column, radius_m: float, worst_lat: float = 60.0) -> tuple[Column, Column]:
@@ -41,7 +41,7 @@ def to_nodes(points: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:
 
 
 def to_edges(points: DataFrame, edges: DataFrame, radius_m: float) -> DataFrame:
-    """``points`` with edge and snap_m of the nearest segment within the radius; ties: smaller edge.
+    """``points`` with edge and snap_m of the nearest segment within the radius; ties, to a micrometre: smaller edge.
 
     ``edges`` has edge and the ends' a_lon, a_lat, b_lon, b_lat. An edge lies in all cells that its box touches, so a long
     one is met wherever it passes.
@@ -49,15 +49,38 @@ def to_edges(points: DataFrame, edges: DataFrame, radius_m: float) -> DataFrame:
     ax, ay = cells(F.col("a_lon"), F.col("a_lat"), radius_m)
     bx, by = cells(F.col("b_lon"), F.col("b_lat"), radius_m)
     spread = edges.withColumn("x", F.explode(F.sequence(F.least(ax, bx), F.greatest(ax, bx)))).withColumn("y", F.explode(F.sequence(F.least(ay, by), F.greatest(ay, by))))
-    met = around(points.select("point", "lon", "lat"), radius_m).join(spread.select("edge", "a_lon", "a_lat", "b_lon", "b_lat", "x", "y"), ["x", "y"])
+    # Many points share a place: places are snapped, and points take what their place got.
+    places = points.filter("lon IS NOT NULL AND lat IS NOT NULL").select("lon", "lat").distinct()
+    met = around(places, radius_m).join(spread.select("edge", "a_lon", "a_lat", "b_lon", "b_lat", "x", "y"), ["x", "y"])
     m = geo.segment_m(*[F.col(c) for c in ("lon", "lat", "a_lon", "a_lat", "b_lon", "b_lat")])
-    best = met.withColumn("snap_m", m).filter(F.col("snap_m") <= radius_m).groupBy("point").agg(F.min(F.struct("snap_m", "edge")).alias("b"))
-    return points.join(best, "point", "left").select(points["*"], F.col("b.edge").alias("edge"), F.col("b.snap_m").alias("snap_m"))
+    best = met.withColumn("snap_m", m).filter(F.col("snap_m") <= radius_m).groupBy("lon", "lat").agg(F.min(F.struct(F.round("snap_m", 6).alias("snap_m"), "edge")).alias("b"))
+    return points.join(small(best), ["lon", "lat"], "left").select(points["*"], F.col("b.edge").alias("edge"), F.col("b.snap_m").alias("snap_m"))
+
+
+#: Targets up to which every point looks at all of them.
+FEW = 1_000
+#: The first radius of the search among more targets, and the factor by which it grows; the last one spans the earth.
+FIRST_M, GROWTH, LAST_M = 2_000.0, 4.0, 4e7
 
 
 def to_few(points: DataFrame, few: DataFrame) -> DataFrame:
-    """Nearest of ``few(target, lon, lat)`` without a radius, by a broadcast of the counted few; ties: smaller target."""
+    """Nearest of ``few(target, lon, lat)`` without a radius; ties: smaller target.
+
+    Up to FEW targets are broadcast to all points. Among more, points look in cells of a radius, and those that found none
+    look again in a wider one: what is found within a radius is the nearest, since all that lie within it were met.
+    """
     targets = few.select("target", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    m = geo.equirect_m(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))
-    met = points.join(small(targets, 10_000), F.lit(True)).select("point", F.struct(m.alias("m"), F.col("target").alias("target")).alias("c"))
-    return met.groupBy("point").agg(F.min("c").alias("b")).select("point", F.col("b.target").alias("target"), F.col("b.m").alias("snap_m"))
+    if targets.limit(FEW + 1).count() <= FEW:
+        m = geo.equirect_m(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))
+        met = points.join(F.broadcast(targets), F.lit(True)).select("point", F.struct(m.alias("m"), F.col("target").alias("target")).alias("c"))
+        return met.groupBy("point").agg(F.min("c").alias("b")).select("point", F.col("b.target").alias("target"), F.col("b.m").alias("snap_m"))
+    nodes, radius = few.select(F.col("target").alias("node"), "lon", "lat"), FIRST_M
+    left, done = points.select("point", "lon", "lat"), None
+    while True:
+        met = cut(to_nodes(left, nodes, radius))
+        found = met.filter("node IS NOT NULL").select("point", F.col("node").alias("target"), "snap_m")
+        done = found if done is None else done.union(found)
+        left = met.filter("node IS NULL").select("point", "lon", "lat")
+        if radius > LAST_M or left.isEmpty():
+            return done
+        radius *= GROWTH

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyway import model
@@ -113,9 +113,19 @@ def degree2_flags(t: Town) -> DataFrame:
     return network.degree_two(t.edges.filter("class < 5")).select("node", "neighbours", "alike")
 
 
-@query()
+@query(
+    """, e AS (SELECT edge, src, dst, class, len_m FROM edges WHERE class<3),
+    ends AS (SELECT src AS node, dst AS other, class, 1 AS o FROM e UNION ALL SELECT dst, src, class, 0 FROM e),
+    per AS (SELECT node, other, sum(o) AS outs, count(*) AS n, min(class) AS lo, max(class) AS hi FROM ends GROUP BY node, other),
+    flag AS (SELECT node FROM per GROUP BY node HAVING count(*)=2 AND min(lo)=max(hi) AND NOT bool_or(node=other) AND ((min(n)=2 AND max(n)=2 AND min(outs)=1 AND max(outs)=1) OR (min(n)=1 AND max(n)=1 AND min(outs)=0 AND max(outs)=1))),
+    walk AS (SELECT edge AS piece, edge, src, src AS prev, dst AS last, class, len_m, 1 AS parts, src||'-'||dst AS shape FROM e WHERE src NOT IN (SELECT node FROM flag)
+        UNION ALL SELECT n.edge, w.edge, w.src, w.last, n.dst, w.class, w.len_m+n.len_m, parts+1, shape||'-'||n.dst FROM walk w JOIN flag f ON f.node=w.last JOIN e n ON n.src=w.last AND n.dst<>w.prev)
+    SELECT edge, src, last AS dst, CAST(class AS INT) AS class, round(len_m,4) AS len_m, CAST(parts AS BIGINT) AS parts, shape FROM walk WHERE last NOT IN (SELECT node FROM flag) AND last<>src
+    UNION ALL SELECT edge, src, dst, CAST(class AS INT), round(len_m,4), 1, src||'-'||dst FROM e WHERE edge NOT IN (SELECT piece FROM walk)""",
+    "edges",
+)
 def simplify_degree2(t: Town) -> DataFrame:
-    return rounded(network.simplified(t.edges.filter("class < 3")), 4)
+    return rounded(network.simplified(t.edges.filter("class < 3")), 4).withColumn("shape", F.array_join("shape", "-"))
 
 
 @query(f"SELECT cx, cy, round(avg(lon),8) AS lon, round(avg(lat),8) AS lat, count(*) AS members FROM chunked WHERE lon BETWEEN -77.54 AND -77.04 AND lat BETWEEN 38.60 AND 39.06 GROUP BY cx, cy", "chunked")
@@ -303,9 +313,9 @@ def _solver_edges(t: Town) -> DataFrame:
 
 @query()
 def aon_free_flow(t: Town) -> DataFrame:
-    edges = _solver_edges(t).orderBy("edge").toPandas()
+    table = assign.vectors(_solver_edges(t))
     rows = _zone_trips(t, 8).filter("origin <> dest")
-    return rounded(paths.all_or_nothing(edges[["edge", "src", "dst"]], edges["free_s"].to_numpy(), rows, t.spark.sparkContext.defaultParallelism), 4)
+    return rounded(paths.all_or_nothing(paths.Shared(t.spark, table), table["free_s"].to_numpy(), rows, t.spark.sparkContext.defaultParallelism), 4)
 
 
 @query()
@@ -315,6 +325,54 @@ def hour_assignment(t: Town) -> DataFrame:
     return assign.kpis(volumes, "hour").withColumns({"iterations": F.lit(result.iterations), "gap": F.lit(result.gap)})
 
 
+@query()
+def hour_under_edits(t: Town) -> DataFrame:
+    """Hour 8 with every edit and every added road, starting from the flows without them: measures of both, and what changed."""
+    trips = _zone_trips(t, 8).cache()
+    base = assign.equilibrium(_solver_edges(t), trips, iterations=6)
+    more = scenario.added(t.additions, t.nodes, 4 * t.side * t.side + 40)
+    after = assign.equilibrium(scenario.changed(t.network, t.edits, more), trips, base.edges.set_index("edge")["volume"], iterations=6)
+    one, two = (assign.kpis(r.frame(t.nodes, 8), "hour") for r in (base, after))
+    rows = [one.withColumn("which", F.lit("base")), two.withColumn("which", F.lit("edited")), scenario.kpi_delta(one, two, "hour").withColumn("which", F.lit("change"))]
+    return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]), 3)
+
+
+@query(
+    f"""SELECT seq+4*side*side+40 AS edge, src, dst, round(m,4) AS len_m, round(m/greatest(speed_kph/3.6::DOUBLE,0.001::DOUBLE),5) AS free_s, CAST(lanes AS INT) AS lanes, capacity_vph FROM
+    (SELECT x.*, greatest({oracle.distance('a.lon', 'a.lat', 'b.lon', 'b.lat')},1.0::DOUBLE) AS m FROM additions x JOIN nodes a ON a.node=x.src JOIN nodes b ON b.node=x.dst WHERE x.src<>x.dst), side""",
+    "additions", "nodes",
+)
+def added_edges(t: Town) -> DataFrame:
+    made = scenario.added(t.additions, t.nodes, 4 * t.side * t.side + 40)
+    return made.select("edge", "src", "dst", F.round("len_m", 4).alias("len_m"), F.round("free_s", 5).alias("free_s"), "lanes", "capacity_vph")
+
+
+@query(
+    """SELECT seq, CASE WHEN src IN (SELECT node FROM nodes) AND dst IN (SELECT node FROM nodes) THEN 'both ends are one' ELSE 'an end is missing' END AS reason FROM additions
+    WHERE src=dst OR src NOT IN (SELECT node FROM nodes) OR dst NOT IN (SELECT node FROM nodes)""",
+    "additions", "nodes",
+)
+def added_warnings(t: Town) -> DataFrame:
+    return scenario.added_warnings(t.additions, t.nodes)
+
+
+@query(
+    """, flows AS (SELECT h.hour, volume, len_m, free_s, free_s*(1+0.15::DOUBLE*pow(volume/greatest(capacity_vph,1.0::DOUBLE),4)) AS c FROM hourly h JOIN network n ON h.edge=n.edge),
+    new_flows AS (SELECT hour, volume, len_m, free_s, CASE WHEN open THEN free_s*(1+0.15::DOUBLE*pow(volume/greatest(capacity_vph,1.0::DOUBLE),4)) ELSE 1e7::DOUBLE END AS c FROM
+        (SELECT h.hour, volume, len_m, len_m/greatest(speed_kph/3.6::DOUBLE,0.001::DOUBLE) AS free_s, capacity_vph, open FROM hourly h JOIN overlay o ON h.edge=o.edge)),
+    sums AS (SELECT hour, sum(volume*len_m/1609.344::DOUBLE) AS vmt, sum(volume*c/3600.0::DOUBLE) AS vht, sum(volume*greatest(c-free_s,0))/sum(volume) AS d FROM flows GROUP BY hour),
+    new_sums AS (SELECT hour, sum(volume*len_m/1609.344::DOUBLE) AS vmt, sum(volume*c/3600.0::DOUBLE) AS vht, sum(volume*greatest(c-free_s,0))/sum(volume) AS d FROM new_flows GROUP BY hour)
+    SELECT a.hour, round(b.vmt-a.vmt,3) AS vmt, round(b.vht-a.vht,1) AS vht, round(b.d-a.d,2) AS mean_delay_s_per_traversal FROM sums a JOIN new_sums b ON a.hour=b.hour""",
+    "hourly", "network", "overlay",
+)
+def kpi_delta(t: Town) -> DataFrame:
+    base = assign.kpis(t.hourly.join(t.network, "edge"), "hour")
+    after = assign.kpis(t.hourly.join(scenario.changed(t.network, t.edits), "edge"), "hour")
+    d = scenario.kpi_delta(base, after, "hour")
+    vmt = F.round(F.round("vmt", 3) + 0.0, 3)  # no negative zero
+    return d.select("hour", vmt.alias("vmt"), F.round("vht", 1).alias("vht"), F.round("mean_delay_s_per_traversal", 2).alias("mean_delay_s_per_traversal"))
+
+
 @query()
 def shortest_path_skim(t: Town) -> DataFrame:
     near = snap.to_few(t.zones.withColumnRenamed("zone", "point"), t.nodes.withColumnRenamed("node", "target")).select(F.col("point").alias("origin"), F.col("target").alias("node"), F.lit(0.0).alias("cost"))
@@ -410,10 +468,26 @@ def crash_grid(t: Town) -> DataFrame:
     return feeds.crash_cells(t.crashes, CRASHES).select("cx", "cy", "n", "severity_sum", F.round("mean_severity", 6).alias("mean_severity"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
-@query()
+def _crashed(t: Town) -> DataFrame:
+    return snap.to_edges(t.crashes.withColumnRenamed("crash_id", "point"), t.edges, model.SNAP_CRASH_M)
+
+
+@query("SELECT edge, count(*) AS n, CAST(sum(severity) AS BIGINT) AS severity_sum, count(*) FILTER (WHERE severity=5) AS fatal FROM crashed GROUP BY edge", "crashed")
 def crash_edges(t: Town) -> DataFrame:
-    snapped = snap.to_edges(t.crashes.withColumnRenamed("crash_id", "point"), t.edges, model.SNAP_CRASH_M)
-    return feeds.crash_edges(snapped)
+    return feeds.crash_edges(_crashed(t))
+
+
+@query("SELECT edge, count(*) AS crashes FROM crashed GROUP BY edge ORDER BY crashes DESC, edge LIMIT 5", "crashed")
+def crash_top_edges(t: Town) -> DataFrame:
+    return feeds.top_edges(_crashed(t))
+
+
+@query(
+    "SELECT CASE WHEN event_id%8 BETWEEN 1 AND 5 THEN CAST(event_id%8 AS INT) ELSE 1 END AS severity, CAST(sum(greatest(floor(user_id%40/10.0::DOUBLE+0.5::DOUBLE),1)) AS BIGINT) AS crashes FROM events GROUP BY 1"
+)
+def tile_severities(t: Town) -> DataFrame:
+    cells = t.table("events").select((F.col("event_id") % 8).alias("severity"), (F.col("user_id") % 40 / 10.0).alias("count"))
+    return feeds.tile_severities(cells)
 
 
 @query("SELECT s AS severity, count(crash_id) AS n FROM (VALUES (1),(2),(3),(4),(5)) v(s) LEFT JOIN crashes c ON c.severity=s GROUP BY s", "crashes")
@@ -488,6 +562,19 @@ def land_use_rollup(t: Town) -> DataFrame:
     return rounded(feeds.land_use(tiles), 2)
 
 
+@query(
+    """, rows AS (SELECT CASE WHEN zone='R-3' THEN 'other' ELSE zone END AS category, count(*) AS parcels, round(sum(coalesce(total,0)),2) AS assessed_value FROM parcels p LEFT JOIN latest l ON p.parcel_id=l.parcel_id GROUP BY 1)
+    SELECT category, parcels, assessed_value, row_number() OVER (ORDER BY assessed_value DESC, parcels DESC, category) AS place FROM rows""",
+    "parcels", "latest",
+)
+def land_use_order(t: Town) -> DataFrame:
+    """Categories by falling value, then parcels; there are as many rows as categories."""
+    tiles = t.parcels.join(_latest(t), "parcel_id", "left").select("parcel_id", "zone", "area_m2", F.col("total").alias("value"), F.lit(0).alias("tile"))
+    rows = rounded(feeds.land_use(tiles), 2).filter("category IS NOT NULL")
+    place = F.row_number().over(Window.orderBy(F.desc("assessed_value"), F.desc("parcels"), "category"))
+    return rows.select("category", "parcels", "assessed_value", place.cast("bigint").alias("place"))
+
+
 @query("SELECT CAST(floor(x/0.05::DOUBLE) AS BIGINT) AS ix, CAST(floor(y/0.05::DOUBLE) AS BIGINT) AS iy, round(max(z),6) AS z, count(*) AS n FROM returns GROUP BY 1,2", "returns")
 def surface_thin(t: Town) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / 0.05).cast("bigint")
@@ -500,7 +587,14 @@ def ground_min(t: Town) -> DataFrame:
     return feeds.ground(t.returns, F.col("vec_id") % 16)
 
 
-@query()
+@query(
+    f""", c AS (SELECT chunk, count(*)*2000000 AS bytes, pow(avg(lon)-(-77.3::DOUBLE),2)+pow(avg(lat)-38.85::DOUBLE,2) AS d FROM chunked GROUP BY chunk),
+    o AS (SELECT *, row_number() OVER (ORDER BY d, chunk, bytes) AS k FROM c),
+    f AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS chunk, 0::BIGINT AS hits UNION ALL
+        SELECT o.k, CASE WHEN used+bytes<={model.LIDAR_BUDGET} THEN CAST(used+bytes AS BIGINT) ELSE used END, CASE WHEN used+bytes<={model.LIDAR_BUDGET} THEN o.chunk END, hits+CASE WHEN used+bytes<={model.LIDAR_BUDGET} THEN 1 ELSE 0 END FROM f JOIN o ON o.k=f.k+1)
+    SELECT CAST(hits-1 AS INT) AS place, chunk FROM f WHERE k>0 AND chunk IS NOT NULL""",
+    "chunked",
+)
 def chunk_budget(t: Town) -> DataFrame:
     at = geo.chunk_of(F.col("lon"), F.col("lat"), CHUNKS)
     chunks = t.nodes.groupBy(at.alias("chunk")).agg(F.count(F.lit(1)).alias("points"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat")).withColumn("bytes", F.col("points") * 2_000_000)

@@ -94,7 +94,7 @@ class Town:
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
         k = F.col("l_orderkey")
         arrive = (k * 137 % 93600 + 300 * F.col("l_linenumber") + F.col("l_quantity")).cast("double")
-        return self.table("lineitem").filter("l_linenumber <= 3").select(k.alias("trip"), F.row_number().over(w).alias("seq"), (F.col("l_suppkey") % 4).alias("stop"), arrive.alias("arrive_s"))
+        return self.table("lineitem").select(k.alias("trip"), F.row_number().over(w).alias("seq"), (F.col("l_suppkey") % 4).alias("stop"), arrive.alias("arrive_s"))
 
     @property
     def departures(self) -> DataFrame:
@@ -126,6 +126,15 @@ class Town:
             F.when((k % 5 != 0) & (k % 7 == 0), (500 + k % 3000).cast("double")).alias("capacity_vph"),
         )
 
+    @property
+    def additions(self) -> DataFrame:
+        """A what-if road per order, between nodes that may or may not exist."""
+        k, n = F.col("o_orderkey"), self.side * self.side + 5
+        return self.table("orders").select(
+            k.alias("seq"), (k * 31 % n).alias("src"), (k * 57 % n).alias("dst"), (k % 3 + 1).cast("int").alias("lanes"),
+            (40 + k % 50).cast("double").alias("speed_kph"), (600 * (k % 3 + 1)).cast("double").alias("capacity_vph"),
+        )
+
     @property
     def hourly(self) -> DataFrame:
         """Observed-like volumes by (hour, edge): quantities of lineitems on an edge of their supplier and part."""

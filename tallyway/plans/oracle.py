@@ -44,7 +44,7 @@ RELATIONS = {
     "hours": f"SELECT * FROM (VALUES {_HOURS}) h(hour, share, back)",
     "crashes": "SELECT event_id AS crash_id, ts, -77.54::DOUBLE+0.5::DOUBLE*((user_id*37)%150)/150.0::DOUBLE+0.0012::DOUBLE*(event_id%3) AS lon, 38.6::DOUBLE+0.46::DOUBLE*((user_id*61)%150)/150.0::DOUBLE+0.0009::DOUBLE*(event_id%2) AS lat, CAST(year(ts) AS BIGINT) AS yr, CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS severity FROM events",
     "stations": "SELECT s_suppkey AS station_id, abs(s_acctbal) AS aadt, -77.54::DOUBLE+0.5::DOUBLE*((s_suppkey*4937)%10000)/10000.0::DOUBLE AS lon, 38.6::DOUBLE+0.46::DOUBLE*((s_suppkey*3571)%10000)/10000.0::DOUBLE AS lat FROM supplier",
-    "stop_times": "SELECT l_orderkey AS trip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_suppkey,l_partkey,l_extendedprice) AS seq, l_suppkey%4 AS stop, CAST((l_orderkey*137)%93600+300*l_linenumber+l_quantity AS DOUBLE) AS arrive_s FROM lineitem WHERE l_linenumber<=3",
+    "stop_times": "SELECT l_orderkey AS trip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_suppkey,l_partkey,l_extendedprice) AS seq, l_suppkey%4 AS stop, CAST((l_orderkey*137)%93600+300*l_linenumber+l_quantity AS DOUBLE) AS arrive_s FROM lineitem",
     "patterns": "SELECT trip, list(stop ORDER BY seq) AS pattern FROM stop_times GROUP BY trip",
     "hops": "SELECT trip, seq, greatest(n-arrive_s,0.0::DOUBLE) AS hop_s FROM (SELECT *, lead(arrive_s) OVER (PARTITION BY trip ORDER BY seq) AS n FROM stop_times) WHERE n IS NOT NULL",
     "departures": "SELECT o_custkey%50 AS pattern, o_orderkey AS trip, CAST((o_orderkey*137)%93600 AS DOUBLE) AS depart_s FROM orders",
@@ -54,18 +54,23 @@ RELATIONS = {
     "edits": """SELECT o_orderkey AS seq, CASE WHEN o_orderkey%5=0 THEN 'close' ELSE 'set' END AS type, (o_orderkey*7919)%(4*side*side+40) AS edge,
         CASE WHEN o_orderkey%5<>0 AND o_orderkey%2=0 THEN CAST(o_orderkey%4+1 AS INT) END AS lanes, CASE WHEN o_orderkey%5<>0 AND o_orderkey%3=0 THEN CAST(30+o_orderkey%60 AS DOUBLE) END AS speed_kph,
         CASE WHEN o_orderkey%5<>0 AND o_orderkey%7=0 THEN CAST(500+o_orderkey%3000 AS DOUBLE) END AS capacity_vph FROM orders, side""",
+    "additions": "SELECT o_orderkey AS seq, (o_orderkey*31)%(side*side+5) AS src, (o_orderkey*57)%(side*side+5) AS dst, o_orderkey%3+1 AS lanes, CAST(40+o_orderkey%50 AS DOUBLE) AS speed_kph, CAST(600*(o_orderkey%3+1) AS DOUBLE) AS capacity_vph FROM orders, side",
     "folded": "SELECT edge, bool_or(type='close') AS closed, arg_max(lanes,seq) FILTER (WHERE lanes IS NOT NULL) AS new_lanes, arg_max(speed_kph,seq) FILTER (WHERE speed_kph IS NOT NULL) AS new_speed, arg_max(capacity_vph,seq) FILTER (WHERE capacity_vph IS NOT NULL) AS new_capacity FROM edits GROUP BY edge",
     "overlay": "SELECT n.edge, len_m, coalesce(new_lanes,lanes) AS lanes, coalesce(new_speed,speed_kph) AS speed_kph, coalesce(new_capacity,capacity_vph/greatest(lanes,1)*greatest(coalesce(new_lanes,lanes),1)) AS capacity_vph, NOT coalesce(closed,false) AS open FROM network n LEFT JOIN folded f ON n.edge=f.edge",
     "hourly": "SELECT CAST(CASE WHEN l_partkey%9=0 THEN 8 ELSE l_suppkey%24 END AS INT) AS hour, l_partkey*4+l_linenumber%4 AS edge, sum(l_quantity) AS volume FROM lineitem GROUP BY 1,2",
     "daily": "SELECT edge, count(DISTINCT h.hour) AS hours_present, CASE WHEN count(DISTINCT h.hour)=1 THEN sum(volume)/max(share) ELSE sum(volume) END AS modelled_daily FROM hourly h JOIN hours s ON h.hour=s.hour GROUP BY edge",
+    "places": "SELECT DISTINCT lon, lat FROM crashes",
+    "past": "SELECT p.lon, p.lat, e.edge, (a_lon-lon)*cos(radians(lat))*111320.0::DOUBLE AS ax, (a_lat-lat)*111320.0::DOUBLE AS ay, (b_lon-a_lon)*cos(radians(lat))*111320.0::DOUBLE AS dx, (b_lat-a_lat)*111320.0::DOUBLE AS dy FROM places p, edges e",
+    "beside": "SELECT *, CASE WHEN dx*dx+dy*dy>0 THEN least(greatest(-(ax*dx+ay*dy)/(dx*dx+dy*dy),0.0::DOUBLE),1.0::DOUBLE) ELSE 0.0::DOUBLE END AS t FROM past",
+    "crashed": "SELECT c.crash_id, c.severity, s.edge FROM crashes c JOIN (SELECT lon, lat, arg_min(edge, (round(m,6), edge)) AS edge FROM (SELECT lon, lat, edge, sqrt(pow(ax+t*dx,2)+pow(ay+t*dy,2)) AS m FROM beside) WHERE m<=120.0::DOUBLE GROUP BY lon, lat) s ON s.lon=c.lon AND s.lat=c.lat",
     "apart": "SELECT s.station_id, s.aadt, e.edge, (a_lon-lon)*cos(radians(lat))*111320.0::DOUBLE AS ax, (a_lat-lat)*111320.0::DOUBLE AS ay, (b_lon-a_lon)*cos(radians(lat))*111320.0::DOUBLE AS dx, (b_lat-a_lat)*111320.0::DOUBLE AS dy FROM stations s, edges e",
     "along": "SELECT *, CASE WHEN dx*dx+dy*dy>0 THEN least(greatest(-(ax*dx+ay*dy)/(dx*dx+dy*dy),0.0::DOUBLE),1.0::DOUBLE) ELSE 0.0::DOUBLE END AS t FROM apart",
-    "snapped": "SELECT station_id, aadt, edge, m FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY m, edge) AS rn FROM (SELECT *, sqrt(pow(ax+t*dx,2)+pow(ay+t*dy,2)) AS m FROM along) WHERE m<=250.0::DOUBLE) WHERE rn=1",
+    "snapped": "SELECT station_id, aadt, edge, m FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY round(m,6), edge) AS rn FROM (SELECT *, sqrt(pow(ax+t*dx,2)+pow(ay+t*dy,2)) AS m FROM along) WHERE m<=250.0::DOUBLE) WHERE rn=1",
 }
 
 NEEDS = {
     "masses": ["zones"], "pulls": ["masses"], "halved": ["od"], "nodes": ["side"], "edges": ["nodes"], "network": ["edges", "classes"], "chunked": ["nodes"], "placed": ["edges", "chunked"],
-    "patterns": ["stop_times"], "hops": ["stop_times"], "edits": ["side"], "folded": ["edits"], "overlay": ["network", "folded"], "daily": ["hourly", "hours"], "apart": ["stations", "edges"], "along": ["apart"], "snapped": ["along"],
+    "patterns": ["stop_times"], "hops": ["stop_times"], "edits": ["side"], "folded": ["edits"], "additions": ["side"], "places": ["crashes"], "past": ["places", "edges"], "beside": ["past"], "crashed": ["beside"], "overlay": ["network", "folded"], "daily": ["hourly", "hours"], "apart": ["stations", "edges"], "along": ["apart"], "snapped": ["along"],
 }
 
 

@@ -58,7 +58,7 @@ def test_trees_agree_with_relaxation(spark):
     got = {r["node"]: r["cost"] for r in labels.collect()}
     assert got == pytest.approx(dict(zip(topology.nodes.tolist(), distance, strict=True)))
     trips = spark.createDataFrame([(0, side * side - 1, 5.0), (3, 10, 2.0)], "origin long, dest long, trips double")
-    volume = {r["edge"]: r["volume"] for r in paths.all_or_nothing(edges, edges["cost"].to_numpy(), trips, 3).collect()}
+    volume = {r["edge"]: r["volume"] for r in paths.all_or_nothing(paths.Shared(spark, edges), edges["cost"].to_numpy(), trips, 3).collect()}
     out = sum(volume.get(r.edge, 0) for r in edges.itertuples() if r.src == 0) - sum(volume.get(r.edge, 0) for r in edges.itertuples() if r.dst == 0)
     assert out == pytest.approx(5.0)
 
@@ -86,6 +86,77 @@ def test_a_chain_becomes_one_edge_each_way(spark):
     assert got == [(0, 4, 400.0, 4), (4, 0, 400.0, 4)]
 
 
+def two_way(spark, links, extra="class int, lanes int", values=(5, 1)):
+    rows = [(2 * k + d, *(link if d == 0 else link[::-1]), *values, 100.0) for k, link in enumerate(links) for d in (0, 1)]
+    return spark.createDataFrame(rows, f"edge long, src long, dst long, {extra}, len_m double")
+
+
+def test_rings_stay_and_loops_go(spark):
+    ring = two_way(spark, [(0, 1), (1, 2), (2, 0)])
+    assert sorted(r["edge"] for r in network.simplified(ring).collect()) == list(range(6))
+    one_way = ring.filter("edge % 2 = 0")
+    assert sorted(r["edge"] for r in network.simplified(one_way).collect()) == [0, 2, 4]
+    # A chain 10-11-12-13 beside the ring, and a lollipop: a loop that leaves 20 and comes back to it.
+    more = two_way(spark, [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (10, 11), (11, 12), (12, 13), (20, 21), (21, 22), (22, 20), (20, 23), (20, 24)])
+    got = network.simplified(more).collect()
+    assert {(r["src"], r["dst"]) for r in got if r["src"] < 5} == {p for a in range(5) for p in ((a, (a + 1) % 5), ((a + 1) % 5, a))}
+    assert sorted((r["src"], r["dst"], r["parts"], r["len_m"], r["shape"]) for r in got if 10 <= r["src"] < 20) == [(10, 13, 3, 300.0, [10, 11, 12, 13]), (13, 10, 3, 300.0, [13, 12, 11, 10])]
+    assert {(r["src"], r["dst"]) for r in got if r["src"] >= 20} == {(20, 23), (23, 20), (20, 24), (24, 20)}
+
+
+def test_a_change_of_lanes_ends_a_chain(spark):
+    one, two = two_way(spark, [(0, 1), (1, 2)]), two_way(spark, [(2, 3), (3, 4)], values=(5, 2)).withColumn("edge", F.col("edge") + 10)
+    got = sorted((r["src"], r["dst"], r["lanes"]) for r in network.simplified(one.union(two)).collect())
+    assert got == [(0, 2, 1), (2, 0, 1), (2, 4, 2), (4, 2, 2)]
+
+
+def test_directions_are_conjugate():
+    rng = np.random.default_rng(3)
+    weight, aim = rng.random(40), rng.standard_normal(40)
+    past = [-0.2 * aim + 0.3 * rng.standard_normal(40) for _ in range(2)]
+    d = assign.toward(aim, past, weight)
+    solved = [k for k in (2, 1) if all(abs(float(d @ (weight * p))) < 1e-9 for p in past[:k])]
+    assert solved
+    assert assign.toward(aim, [], weight) is aim
+    assert assign.toward(aim, [aim.copy()], weight) is aim  # only a negative share would be conjugate
+
+
+def test_step_is_where_the_slope_vanishes():
+    price = lambda x: 1 + x**4
+    bend = lambda x: 4 * x**3
+    x, d = np.array([3.0, 0.0]), np.array([-3.0, 3.0])
+    assert assign.step_length(price, bend, x, d) == pytest.approx(0.5)
+    assert assign.step_length(price, bend, x, np.array([-1.0, 0.0])) == 1.0
+
+
+def test_many_targets_are_searched_in_rings(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    at = lambda n: [(k, -77.5 + float(a), 38.6 + float(b)) for k, (a, b) in enumerate(rng.random((n, 2)))]
+    points, few = spark.createDataFrame(at(50), "point long, lon double, lat double"), spark.createDataFrame(at(60), "target long, lon double, lat double")
+    want = sorted(tuple(r) for r in snap.to_few(points, few).collect())
+    monkeypatch.setattr(snap, "FEW", 5)
+    assert sorted(tuple(r) for r in snap.to_few(points, few).collect()) == want
+    assert snap.to_few(points.limit(0), few).count() == 0
+
+
+def test_hours_of_a_sweep_agree_with_single_hours(spark):
+    edges = solver_edges(spark, [(0, 0, 1, 60.0, 1200.0), (1, 0, 1, 110.0, 3000.0)])
+    trips = spark.createDataFrame([(7, 0, 1, 3000.0), (8, 0, 1, 100.0)], "hour int, origin long, dest long, trips double")
+    got = {(r["hour"], r["edge"]): r["volume"] for r in assign.sweep(edges, trips, [7, 8]).collect()}
+    exact = spark.range(1).select(assign.wardrop(F.lit(3000.0), F.lit(60.0), F.lit(1200.0), F.lit(110.0), F.lit(3000.0))).first()[0]
+    assert got[(7, 0)] == pytest.approx(exact, rel=0.02) and got[(7, 0)] + got[(7, 1)] == pytest.approx(3000.0)
+    assert got[(8, 0)] == pytest.approx(100.0)
+
+
+def test_added_links_join_the_network(spark):
+    nodes = spark.createDataFrame([(1, -77.5, 38.6), (2, -77.5, 38.61)], "node long, lon double, lat double")
+    adds = spark.createDataFrame([(3, 1, 2, 2, 36.0, 1000.0), (4, 1, 9, 1, 36.0, 1.0), (5, 2, 2, 1, 36.0, 1.0)], "seq long, src long, dst long, lanes int, speed_kph double, capacity_vph double")
+    row = scenario.added(adds, nodes, 100).collect()
+    assert [(r["edge"], r["src"], r["dst"]) for r in row] == [(103, 1, 2)]
+    assert row[0]["len_m"] == pytest.approx(1113.2) and row[0]["free_s"] == pytest.approx(111.32)
+    assert sorted((r["seq"], r["reason"]) for r in scenario.added_warnings(adds, nodes).collect()) == [(4, "an end is missing"), (5, "both ends are one")]
+
+
 def test_a_change_of_class_ends_a_chain(spark):
     rows = [(0, 0, 1, 2, 10.0), (1, 1, 0, 2, 10.0), (2, 1, 2, 5, 10.0), (3, 2, 1, 5, 10.0)]
     edges = spark.createDataFrame(rows, "edge long, src long, dst long, class int, len_m double")
@@ -134,12 +205,12 @@ def test_upper_median(spark):
 
 
 def test_text_normalisation(spark):
-    rows = spark.createDataFrame([("5",), ("K",), ("3: Visible Injury",), ("unknown",), ("9",)], "s string")
-    assert [r[0] for r in rows.select(roads.severity(F.col("s"))).collect()] == [5, 5, 3, None, None]
+    rows = spark.createDataFrame([("2",), (" k ",), ("4: serious",), ("no idea",), ("7",), ("fatal",), ("Nonvisible injury",), ("PDO",), (None,)], "s string")
+    assert [r[0] for r in rows.select(roads.severity(F.col("s"))).collect()] == [2, 5, 4, None, None, 5, 2, 1, None]
     speeds = spark.createDataFrame([("50",), ("35 mph",), ("50 km/h",), ("walk",), (None,)], "s string")
     assert [r[0] for r in speeds.select(roads.max_speed_kph(F.col("s"))).collect()] == [50.0, pytest.approx(56.32704), 50.0, None, None]
-    heights = spark.createDataFrame([(32.8084, None, None), (None, 355.3, 331.0), (9000.0, None, None)], "h double, t double, g double")
-    assert [r[0] for r in heights.select(roads.height_m(F.col("h"), F.col("t"), F.col("g"))).collect()] == [pytest.approx(10.0), pytest.approx(7.41, abs=0.01), None]
+    heights = spark.createDataFrame([(20.0, None, None), (None, 412.5, 400.0), (12000.0, None, None)], "h double, t double, g double")
+    assert [r[0] for r in heights.select(roads.height_m(F.col("h"), F.col("t"), F.col("g"))).collect()] == [pytest.approx(6.096), pytest.approx(3.81), None]
 
 
 def test_calibration_measures(spark):
