@@ -82,6 +82,20 @@ def height_m(lidar_ft: Column, top_ft: Column, ground_ft: Column) -> Column:
     return F.when(metres.between(model.LEAST_HEIGHT_M, model.MOST_HEIGHT_M), metres)
 
 
+def shown_height_m(height: Column, render: Column, levels: Column) -> Column:
+    """The first of a height, a rendered height and storeys that is a number; else a small building's."""
+    number = lambda c: c.cast("string").try_cast("double")
+    return F.coalesce(number(height), number(render), number(levels) * model.STOREY_M, F.lit(model.UNKNOWN_HEIGHT_M))
+
+
+def mps(kph: Column) -> Column:
+    return kph / 3.6
+
+
+def kph(mps_: Column) -> Column:
+    return mps_ * 3.6
+
+
 def zone_category(name: Column) -> Column:
     return F.when(name.isin(*model.ZONE_CATEGORIES), name).otherwise("other")
 

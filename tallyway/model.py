@@ -93,3 +93,12 @@ def road_classes(spark: SparkSession) -> DataFrame:
 def hour_shares(spark: SparkSession) -> DataFrame:
     rows = [(h, s, return_share(h)) for h, s in enumerate(HOUR_SHARE)]
     return spark.createDataFrame(rows, "hour int, share double, back double")
+
+
+# The classes that count as major, and the colours of volume over capacity.
+MAJOR_CLASSES = (0, 1, 2, 3)
+VC_COLOURS = (
+    (0.0, (56, 142, 96)), (0.5, (140, 176, 70)), (0.75, (227, 186, 60)), (0.9, (232, 129, 47)), (1.05, (214, 62, 51)), (1.3, (140, 26, 60)),
+)
+#: Metres of a storey, and of a building of which nothing is known.
+STOREY_M, UNKNOWN_HEIGHT_M = 3.5, 6.0

@@ -19,6 +19,12 @@ def crash_cells(crashes: DataFrame, grid: Grid) -> DataFrame:
     })
 
 
+def position(geom_lon: Column, geom_lat: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
+    """A crash's place: its geometry, else its coordinates where neither is zero."""
+    has, told = geom_lon.isNotNull() & geom_lat.isNotNull(), (lon != 0) & (lat != 0)
+    return F.when(has, geom_lon).when(told, lon), F.when(has, geom_lat).when(told, lat)
+
+
 def crash_edges(snapped: DataFrame) -> DataFrame:
     fatal = F.sum((F.col("severity") == 5).cast("int")).cast("bigint")
     return snapped.filter("edge IS NOT NULL").groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.sum("severity").cast("bigint").alias("severity_sum"), fatal.alias("fatal"))

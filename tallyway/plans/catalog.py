@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyway import model
 from tallyway.functions import geo, roads
-from tallyway.operators import assign, demand, feeds, network, paths, scenario, snap, transit
+from tallyway.operators import assign, demand, feeds, network, paths, scenario, snap, transit, views
 from tallyway.plans import oracle
 from tallyway.plans.derive import CHUNKS, CRASHES, SOUTH, WEST, Town
 from tallyway.plans.oracle import sql
@@ -627,3 +627,146 @@ def osm_tag_parse(t: Town) -> DataFrame:
 @query(f"SELECT date_trunc('hour', ts) AS hour, {CX} AS cx, {CY} AS cy, count(*) AS n, CAST(sum(severity) AS BIGINT) AS severity_sum FROM crashes GROUP BY ALL", "crashes")
 def crash_hours(t: Town) -> DataFrame:
     return streams.hourly_cells(t.crashes, CRASHES)
+
+
+# -------------------------------------------------------------------- views
+
+
+@query("SELECT b AS block, b//1000 AS block_group, b//10000000000000 AS state FROM (SELECT (10+c_nationkey)*10000000000000+c_custkey*1000+7 AS b FROM customer)")
+def census_blocks(t: Town) -> DataFrame:
+    block = (F.lit(10) + F.col("c_nationkey")).cast("bigint") * 10**13 + F.col("c_custkey") * 1000 + 7
+    return t.table("customer").select(block.alias("block")).select("block", demand.block_group(F.col("block")).alias("block_group"), demand.block_state(F.col("block")).alias("state"))
+
+
+@query("SELECT origin, dest, trips FROM od WHERE NOT (origin>=18 AND dest>=18)", "od")
+def without_through_trips(t: Town) -> DataFrame:
+    """Zones from 18 on lie outside."""
+    return demand.without_through(demand.trips(t.commutes), t.zones.filter("zone >= 18"))
+
+
+@query(
+    "SELECT crash_id, CASE WHEN crash_id%3<>0 THEN lon WHEN crash_id%5<>0 THEN lon+1e-4::DOUBLE END AS lon, CASE WHEN crash_id%3<>0 THEN lat WHEN crash_id%5<>0 THEN lat+1e-4::DOUBLE END AS lat FROM crashes", "crashes"
+)
+def crash_positions(t: Town) -> DataFrame:
+    k = F.col("crash_id")
+    told = lambda c: F.when(k % 5 == 0, F.lit(0.0)).otherwise(F.col(c) + 1e-4)
+    lon, lat = feeds.position(F.when(k % 3 != 0, F.col("lon")), F.when(k % 3 != 0, F.col("lat")), told("lon"), told("lat"))
+    return t.crashes.select("crash_id", lon.alias("lon"), lat.alias("lat"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey%2=0 THEN p_size+0.0::DOUBLE WHEN p_partkey%3=0 THEN p_size*2.0::DOUBLE WHEN p_partkey%5=0 THEN p_size*3.5::DOUBLE ELSE 6.0::DOUBLE END AS height_m FROM part")
+def shown_heights(t: Town) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    height, render, levels = F.when(k % 2 == 0, s.cast("string")).otherwise("tall"), F.when(k % 3 == 0, s * 2.0), F.when(k % 5 == 0, s)
+    return t.table("part").select("p_partkey", roads.shown_height_m(height, render, levels).alias("height_m"))
+
+
+@query(f"SELECT CAST(sum(n) AS BIGINT) AS edges FROM (SELECT src_chunk AS chunk, count(*) AS n FROM placed GROUP BY 1) WHERE {IN_BLOCK('chunk')}", "placed")
+def area_edges(t: Town) -> DataFrame:
+    index = network.chunk_index(network.with_chunks(t.edges, t.nodes, CHUNKS), t.nodes, CHUNKS)
+    return index.filter(network.in_window(F.col("chunk"), BLOCK, CHUNKS)).agg(F.sum("edge_count").alias("edges"))
+
+
+@query(
+    """, files AS (SELECT src_chunk AS chunk, * FROM placed UNION ALL SELECT dst_chunk, * FROM placed WHERE src_chunk<>dst_chunk),
+    held AS (SELECT chunk, src AS node, src_chunk AS home FROM files UNION SELECT chunk, dst, dst_chunk FROM files)
+    SELECT h.chunk, h.ghost_nodes, f.border_edges FROM (SELECT chunk, count(*) FILTER (WHERE home<>chunk) AS ghost_nodes FROM held GROUP BY chunk) h JOIN (SELECT chunk, count(*) FILTER (WHERE src_chunk<>dst_chunk) AS border_edges FROM files GROUP BY chunk) f ON h.chunk=f.chunk""",
+    "placed",
+)
+def file_counts(t: Town) -> DataFrame:
+    return views.file_counts(network.mirrored(network.with_chunks(t.edges, t.nodes, CHUNKS)))
+
+
+@query("SELECT chunk, node, row_number() OVER (ORDER BY chunk, node)-1 AS id FROM chunked", "chunked")
+def contiguous_ids(t: Town) -> DataFrame:
+    return views.contiguous_ids(t.nodes.select(geo.chunk_of(F.col("lon"), F.col("lat"), CHUNKS).alias("chunk"), "node"))
+
+
+def _ramp_sql(value: str) -> str:
+    """Nested CASE over the colours' stops, as one text of three numbers."""
+    stops = model.VC_COLOURS
+    mixed = lambda k, p: f"CAST(floor({stops[k][1][p]}+({stops[k + 1][1][p] - stops[k][1][p]})*(({value})-({stops[k][0]}::DOUBLE))/{stops[k + 1][0] - stops[k][0]!r}::DOUBLE+0.5::DOUBLE) AS BIGINT)"
+    cases = [f"WHEN {value}<={stops[k + 1][0]}::DOUBLE THEN {mixed(k, 0)}||','||{mixed(k, 1)}||','||{mixed(k, 2)}" for k in range(len(stops) - 1)]
+    first, last = (",".join(map(str, s[1])) for s in (stops[0], stops[-1]))
+    return f"CASE WHEN {value}<={stops[0][0]}::DOUBLE THEN '{first}' {' '.join(cases)} ELSE '{last}' END"
+
+
+@query(f"SELECT h.hour, h.edge, {_ramp_sql('(volume/capacity_vph)')} AS colour FROM hourly h JOIN network n ON h.edge=n.edge", "hourly", "network")
+def vc_colours(t: Town) -> DataFrame:
+    rgb = views.interpolated(F.col("volume") / F.col("capacity_vph"), model.VC_COLOURS)
+    return t.hourly.join(t.network, "edge").select("hour", "edge", rgb.alias("c")).select("hour", "edge", F.concat_ws(",", "c.r", "c.g", "c.b").alias("colour"))
+
+
+@query("SELECT DISTINCT e.edge, e.edge IN (SELECT edge FROM edges) AS known FROM edits e", "edits", "edges")
+def edited_edges(t: Town) -> DataFrame:
+    there = t.edges.select("edge", F.lit(True).alias("there"))
+    return t.edits.select("edge").distinct().join(there, "edge", "left").select("edge", F.coalesce("there", F.lit(False)).alias("known"))
+
+
+SHIFTED = (BLOCK[0] + 2, BLOCK[1] + 1, BLOCK[2] + 2, BLOCK[3] + 1)
+IN_SHIFTED = lambda c: f"({c} % {CHUNKS.cols} BETWEEN {SHIFTED[0]} AND {SHIFTED[2]} AND {c} // {CHUNKS.cols} BETWEEN {SHIFTED[1]} AND {SHIFTED[3]})"
+
+
+@query(f"SELECT chunk, CASE WHEN {IN_BLOCK('chunk')} THEN 'free' ELSE 'load' END AS action FROM (SELECT DISTINCT chunk FROM chunked) WHERE {IN_BLOCK('chunk')}<>{IN_SHIFTED('chunk')}", "chunked")
+def area_changes(t: Town) -> DataFrame:
+    chunks = t.nodes.select(geo.chunk_of(F.col("lon"), F.col("lat"), CHUNKS).alias("chunk")).distinct()
+    old, new = (chunks.filter(network.in_window(F.col("chunk"), w, CHUNKS)) for w in (BLOCK, SHIFTED))
+    return views.changes(old, new, "chunk")
+
+
+@query("SELECT trip, arg_min(leave_s, seq) AS depart_s FROM (SELECT trip, seq, leave_s FROM told WHERE seq=1) WHERE leave_s IS NOT NULL GROUP BY trip", "told")
+def first_departures(t: Town) -> DataFrame:
+    return transit.first_departures(t.told_times)
+
+
+@query("SELECT trip, seq, greatest(n-leave_s,0.0::DOUBLE) AS hop_s FROM (SELECT *, lead(reach_s) OVER (PARTITION BY trip ORDER BY seq) AS n FROM told) WHERE n IS NOT NULL AND leave_s IS NOT NULL", "told")
+def told_hops(t: Town) -> DataFrame:
+    return transit.told_hops(t.told_times)
+
+
+@query("SELECT edge FROM edges WHERE class<=3 AND a_lon BETWEEN -77.4::DOUBLE AND -77.2::DOUBLE AND a_lat BETWEEN 38.7::DOUBLE AND 38.9::DOUBLE", "edges")
+def major_in_view(t: Town) -> DataFrame:
+    return views.major_in_view(t.edges, (-77.4, 38.7, -77.2, 38.9)).select("edge")
+
+
+@query("SELECT hour, h.edge, volume, round(a_lon,8) AS a_lon, round(a_lat,8) AS a_lat, round(b_lon,8) AS b_lon, round(b_lat,8) AS b_lat FROM hourly h JOIN edges e ON e.edge=h.edge", "hourly", "edges")
+def hour_geometry(t: Town) -> DataFrame:
+    return rounded(views.with_geometry(t.hourly, t.edges), 8)
+
+
+@query(
+    "SELECT vec_id, round(z-g,6) AS height FROM returns r LEFT JOIN (SELECT vec_id%16 AS chunk, round(min(CASE WHEN cls=2 THEN z END),3) AS g FROM returns GROUP BY 1) x ON x.chunk=r.vec_id%16", "returns"
+)
+def above_ground(t: Town) -> DataFrame:
+    points = t.returns.withColumn("chunk", F.col("vec_id") % 16)
+    return views.above_ground(points, feeds.ground(points, F.col("chunk"))).select("vec_id", F.round("height", 6).alias("height"))
+
+
+@query(
+    f"""SELECT z.zone AS view, c.chunk FROM zones z JOIN (SELECT DISTINCT cx, cy, chunk FROM chunked) c ON {CHUNKS.west!r}::DOUBLE+c.cx*{CHUNKS.lon_deg!r}::DOUBLE<=z.lon+0.0401::DOUBLE AND {CHUNKS.west!r}::DOUBLE+(c.cx+1)*{CHUNKS.lon_deg!r}::DOUBLE>z.lon-0.0401::DOUBLE
+    AND {CHUNKS.south!r}::DOUBLE+c.cy*{CHUNKS.lat_deg!r}::DOUBLE<=z.lat+0.0401::DOUBLE AND {CHUNKS.south!r}::DOUBLE+(c.cy+1)*{CHUNKS.lat_deg!r}::DOUBLE>z.lat-0.0401::DOUBLE""",
+    "zones", "chunked",
+)
+def chunks_in_view(t: Town) -> DataFrame:
+    side = lambda c, d: (F.col(c) + d)
+    boxes = t.zones.select(F.col("zone").alias("view"), side("lon", -0.0401).alias("west"), side("lat", -0.0401).alias("south"), side("lon", 0.0401).alias("east"), side("lat", 0.0401).alias("north"))
+    chunks = t.nodes.select(geo.chunk_of(F.col("lon"), F.col("lat"), CHUNKS).alias("chunk")).distinct()
+    return views.chunks_in_view(boxes, chunks, CHUNKS)
+
+
+@query("SELECT count(*) AS features, count(total) AS attributed FROM parcels p LEFT JOIN latest l ON p.parcel_id=l.parcel_id", "parcels", "latest")
+def attributed_counts(t: Town) -> DataFrame:
+    return feeds.attributed(t.parcels.join(_latest(t), "parcel_id", "left"), "total")
+
+
+@query(
+    """, flows AS (SELECT h.hour, h.edge, volume, volume/capacity_vph AS vc, volume*len_m/1609.344::DOUBLE AS vmt FROM hourly h JOIN network n ON h.edge=n.edge),
+    peak AS (SELECT arg_max(hour, (vmt, -hour)) AS hour FROM (SELECT hour, sum(vmt) AS vmt FROM flows GROUP BY hour))
+    SELECT edge, round(vc,8) AS vc FROM flows WHERE hour=(SELECT hour FROM peak) AND vc>0 ORDER BY vc DESC, edge LIMIT 20""",
+    "hourly", "network",
+)
+def peak_corridors(t: Town) -> DataFrame:
+    """The busiest roads of the hour with the most vehicle miles."""
+    rows = t.hourly.join(t.network, "edge")
+    peak = feeds.daily_kpis(assign.kpis(rows, "hour").withColumnRenamed("mean_delay_s_per_traversal", "mean_delay_s")).select(F.col("peak_hour").cast("int").alias("hour"))
+    return assign.busiest(rows.join(F.broadcast(peak), "hour")).select("edge", F.round("vc", 8).alias("vc"))

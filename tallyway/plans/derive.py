@@ -96,6 +96,12 @@ class Town:
         arrive = (k * 137 % 93600 + 300 * F.col("l_linenumber") + F.col("l_quantity")).cast("double")
         return self.table("lineitem").select(k.alias("trip"), F.row_number().over(w).alias("seq"), (F.col("l_suppkey") % 4).alias("stop"), arrive.alias("arrive_s"))
 
+    @property
+    def told_times(self) -> DataFrame:
+        """Stop times of which some arrivals and some departures aren't told."""
+        arrival, departure = F.when(F.col("seq") % 3 != 0, F.col("arrive_s")), F.when(F.col("seq") % 4 != 1, F.col("arrive_s") + 20.0)
+        return self.stop_times.select("trip", "seq", "stop", arrival.alias("arrival_s"), departure.alias("departure_s"))
+
     @property
     def departures(self) -> DataFrame:
         return self.table("orders").select((F.col("o_custkey") % 50).alias("pattern"), F.col("o_orderkey").alias("trip"), (F.col("o_orderkey") * 137 % 93600).cast("double").alias("depart_s"))

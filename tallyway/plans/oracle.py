@@ -45,6 +45,7 @@ RELATIONS = {
     "crashes": "SELECT event_id AS crash_id, ts, -77.54::DOUBLE+0.5::DOUBLE*((user_id*37)%150)/150.0::DOUBLE+0.0012::DOUBLE*(event_id%3) AS lon, 38.6::DOUBLE+0.46::DOUBLE*((user_id*61)%150)/150.0::DOUBLE+0.0009::DOUBLE*(event_id%2) AS lat, CAST(year(ts) AS BIGINT) AS yr, CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS severity FROM events",
     "stations": "SELECT s_suppkey AS station_id, abs(s_acctbal) AS aadt, -77.54::DOUBLE+0.5::DOUBLE*((s_suppkey*4937)%10000)/10000.0::DOUBLE AS lon, 38.6::DOUBLE+0.46::DOUBLE*((s_suppkey*3571)%10000)/10000.0::DOUBLE AS lat FROM supplier",
     "stop_times": "SELECT l_orderkey AS trip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_suppkey,l_partkey,l_extendedprice) AS seq, l_suppkey%4 AS stop, CAST((l_orderkey*137)%93600+300*l_linenumber+l_quantity AS DOUBLE) AS arrive_s FROM lineitem",
+    "told": "SELECT trip, seq, CASE WHEN seq%4<>1 THEN arrive_s+20 ELSE CASE WHEN seq%3<>0 THEN arrive_s END END AS leave_s, CASE WHEN seq%3<>0 THEN arrive_s ELSE CASE WHEN seq%4<>1 THEN arrive_s+20 END END AS reach_s FROM stop_times",
     "patterns": "SELECT trip, list(stop ORDER BY seq) AS pattern FROM stop_times GROUP BY trip",
     "hops": "SELECT trip, seq, greatest(n-arrive_s,0.0::DOUBLE) AS hop_s FROM (SELECT *, lead(arrive_s) OVER (PARTITION BY trip ORDER BY seq) AS n FROM stop_times) WHERE n IS NOT NULL",
     "departures": "SELECT o_custkey%50 AS pattern, o_orderkey AS trip, CAST((o_orderkey*137)%93600 AS DOUBLE) AS depart_s FROM orders",
@@ -70,7 +71,7 @@ RELATIONS = {
 
 NEEDS = {
     "masses": ["zones"], "pulls": ["masses"], "halved": ["od"], "nodes": ["side"], "edges": ["nodes"], "network": ["edges", "classes"], "chunked": ["nodes"], "placed": ["edges", "chunked"],
-    "patterns": ["stop_times"], "hops": ["stop_times"], "edits": ["side"], "folded": ["edits"], "additions": ["side"], "places": ["crashes"], "past": ["places", "edges"], "beside": ["past"], "crashed": ["beside"], "overlay": ["network", "folded"], "daily": ["hourly", "hours"], "apart": ["stations", "edges"], "along": ["apart"], "snapped": ["along"],
+    "told": ["stop_times"], "patterns": ["stop_times"], "hops": ["stop_times"], "edits": ["side"], "folded": ["edits"], "additions": ["side"], "places": ["crashes"], "past": ["places", "edges"], "beside": ["past"], "crashed": ["beside"], "overlay": ["network", "folded"], "daily": ["hourly", "hours"], "apart": ["stations", "edges"], "along": ["apart"], "snapped": ["along"],
 }
 
 
