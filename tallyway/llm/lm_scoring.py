@@ -38,6 +38,8 @@ BACKOFF = 0.4
 PER_PART = 4_000_000
 #: Words whose counts, and numbers instead of hashes, every task is told at most, unless partitions are still more.
 TOLD = 500_000
+#: Pairs are counted, in search of hot ones, among words with more than one in so many of all words, or hot ones.
+COMMON = 200
 #: What has more than this share of a partition's rows is hot.
 HOT_SHARE = 0.25
 
@@ -75,7 +77,7 @@ def failed(contexts: list[str]) -> Column:
 def frequent(rows: DataFrame, c: str, hot: DataFrame, bound: float) -> tuple[DataFrame, DataFrame]:
     """Broadcast tables of the hot contexts ``c`` (with all their rows counted) and of the hot n-grams.
 
-    The last word of a hot context and that of a hot n-gram are hot words themselves, so only those are looked at.
+    The last word of a hot context and that of a hot n-gram are hot words themselves, so only those of ``hot`` are looked at.
     """
     last = F.broadcast(hot.select(F.col("number").alias("c2")))
     ends = F.broadcast(hot.select(F.col("number").alias("w"), F.lit(True).alias("often")))
@@ -86,7 +88,7 @@ def frequent(rows: DataFrame, c: str, hot: DataFrame, bound: float) -> tuple[Dat
 
 
 def frequent_pairs(rows: DataFrame, hot: DataFrame, bound: float) -> DataFrame:
-    """The broadcast table of the hot bigrams: only pairs of hot words are counted."""
+    """The broadcast table of the hot bigrams: only pairs of words of ``hot`` are counted."""
     first, second = (F.broadcast(hot.select(F.col("number").alias(name))) for name in ("c2", "w"))
     pairs = rows.join(second, "w", "left_semi").join(first, "c2", "left_semi")
     return hot_grams(cut(pairs.groupBy("c2", "w").agg(F.count(F.lit(1)).alias("n"))), "c2", bound)
@@ -128,14 +130,15 @@ def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, backoff: fl
     # At most TOLD words are so frequent, or width / HOT_SHARE. Numbers are shorter than hashes where rows are shuffled.
     told = table.filter(F.col("total") > min(tokens / TOLD, bound))
     told = cut(told.select("word", "total", "m", (F.row_number().over(Window.orderBy(F.desc("total"), "word"))).cast("bigint").alias("number")))
-    hot = cut(told.filter(F.col("total") > bound))
+    hot = told.filter(F.col("total") > bound)
+    common = cut(told.filter(F.col("total") > min(tokens / COMMON, bound)))
 
     rows = numbered(terms(docs, order), told, "w", "c2")
     contexts = [context(k) for k in range(2, order + 1)]
     step = F.lit(math.log(backoff))
     for k in range(order, 2, -1):
         c = context(k)
-        heavy, grams = frequent(rows, c, hot, bound)
+        heavy, grams = frequent(rows, c, common, bound)
         met = dealt(rows, rows.columns, c, "w", heavy.select(c), grams, width).join(heavy, c, "left").join(grams, [c, "w"], "left")
         n, m = F.coalesce("told_gram", "n_gram"), F.coalesce("told_context", "n_key")
         own = F.when(F.col(c).isNotNull() & (n >= cutoff), F.log(n) - F.log(m) + step * failed(contexts[k - 1 :]))
@@ -144,7 +147,7 @@ def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, backoff: fl
 
     # Bigrams are partitioned by their second word, whose own count is then at hand. The counts of frequent words are told to
     # every task; what needs that of another first word keeps asking for it, the rest is summed by document at once.
-    grams = frequent_pairs(rows, hot, bound)
+    grams = frequent_pairs(rows, common, bound)
     keep = [x for x in rows.columns if x != "at"]
     met = dealt(rows, keep, "w", "c2", F.broadcast(hot.select(F.col("number").alias("w"))), grams, width).filter(F.col("c2").isNotNull())
     met = met.join(grams, ["c2", "w"], "left").join(F.broadcast(told.select(F.col("number").alias("w"), "total")), "w", "left")

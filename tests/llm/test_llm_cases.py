@@ -85,11 +85,43 @@ def test_stage_decisions(spark):
     assert set(mixed) == {1, 2, 3, 4, 5, 6, 7, 8, 9, None}
 
 
-def test_pipeline_keeps_ids_and_packs_all(spark):
+def masked_by_hand(text, owned):
+    """Base spans and the places of ``owned`` values masked; spans that touch become one."""
+    spans = [(a, b) for a, _, b in base_spans(text)] + owned
+    for a, b in sorted(spans, reverse=True):
+        if not any(c <= b and a <= d and (c, d) < (a, b) for c, d in spans):
+            end = b
+            while (further := max((d for c, d in spans if c <= end), default=end)) > end:
+                end = further
+            text = text[:a] + "[secret]" + text[end:]
+    return text
+
+
+def test_pipeline_by_hand(spark, docs):
+    """Every stage but the choice of copies and of sequences by brute force: who stays, what is masked, how it is cut."""
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    good = {i for i, kept in verdicts_by_hand([(i, r["text"]) for i, r in rows.items()]) if kept}
+    classes = classes_by_hand([rows[i] for i in sorted(good)])
+    stay = {i for i in good if classes[i] == i}
+    found = secret_scan.findings(spark.createDataFrame([rows[i] for i in stay], docs.schema)).filter("kind = 'owned' AND verdict = 'live'").collect()
+    owned = defaultdict(list)
+    for r in found:
+        owned[r["doc_id"]].append((r["start"], r["end"]))
+    tokenizer, want = Tokenizer.from_file(PATH), {}
+    for i in stay:
+        ids = np.array([*tokenizer.encode(masked_by_hand(rows[i]["text"], owned[i]), add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want[i] = [(k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
     out = corpus_pipeline.run(spark, FOLDER).collect()
-    assert {"doc_id", "sequence_id", "offset"} <= set(out[0].asDict())
-    ids = {r["doc_id"] for r in out}
-    assert ids <= {r["doc_id"] for r in load(spark, FOLDER, "documents").collect()}
+    got, bins = defaultdict(Counter), defaultdict(list)
+    for r in out:
+        got[r["doc_id"]][(r["piece"], r["start"], r["length"], r["ids_crc32"])] += 1
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(got) == stay
+    for i, pieces in got.items():
+        assert set(pieces) == set(want[i]) and len(set(pieces.values())) == 1
+    for parts in bins.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
 
 
 # ------------------------------------------------------------------- rules
@@ -120,6 +152,48 @@ def test_rules_agree_with_labels(spark):
     assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
 
 
+def verdicts_by_hand(rows):
+    """kept by row: votes, plain expectation-maximisation over rows and not over patterns, and the base test."""
+
+    def vote(rule, m):
+        holds = lambda text: eval(text.replace(" AND ", " and ").replace(" OR ", " or ").replace(" = ", " == "), {}, m)  # noqa: E731, S307
+        return -1 if holds(rule.bad) else 1 if holds(rule.good) else 0
+
+    measured = []
+    for _, text in rows:
+        n, chars, symbols, dup_lines, repeats = rule_measures(text)
+        text, w = text or "", words(text)
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        measured.append({"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeats, "n_distinct": len(set(w)), "n_lines": lines, "n_capitals": len(re.findall("[A-Z]", text)), "n_shouts": len(re.findall("[!?]", text)), "n_stops": text.count(".")})
+    votes = np.array([[vote(r, m) for r in weak_rules.RULES] for m in measured])
+    prior = weak_rules.START.prior
+    given = np.array(weak_rules.START.given)  # rule, bad or good, vote
+    told = votes != 0
+
+    def odds():
+        chances = np.log(given[:, 1]) - np.log(given[:, 0])
+        return math.log(prior / (1 - prior)) + sum(np.where(told[:, k], chances[k][votes[:, k] + 1], 0) for k in range(votes.shape[1]))
+
+    for _ in range(weak_rules.ROUNDS):
+        good = 1 / (1 + np.exp(-np.clip(odds(), -500, 500)))
+        prior = (good.sum() + weak_rules.SMOOTH) / (len(good) + 2 * weak_rules.SMOOTH)
+        for k, rule in enumerate(weak_rules.RULES):
+            for y, mass in enumerate((1 - good, good)):
+                n = np.array([mass[votes[:, k] == v].sum() for v in (-1, 0, 1)]) + weak_rules.SMOOTH
+                given[k, y] = n / n.sum()
+            blame = min(given[k, 1, 0], rule.most_false, given[k, 0, 0])
+            given[k, 1] = [blame, *given[k, 1, 1:] * (1 - blame) / given[k, 1, 1:].sum()]
+    failed = [m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"] for m in measured]
+    return [(i, bool(o >= 0) and not f) for (i, _), o, f in zip(rows, odds(), failed)]
+
+
+def test_verdicts_by_hand(spark, docs):
+    rows = docs.unionByName(awkward(spark).select(docs.columns))
+    want = verdicts_by_hand([(r["doc_id"], r["text"]) for r in rows.collect()])
+    got = [(r["doc_id"], r["kept"]) for r in weak_rules.quality_rules(rows).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {k for _, k in got} == {True, False}
+
+
 def test_accuracies_are_recovered():
     rng, counts = random.Random(5), Counter()
     for _ in range(20_000):
@@ -387,6 +461,71 @@ def test_sites_and_held_out_accuracy(spark):
     assert host_bayes.classify(empty(spark), labels, F.col("source"), F.col("lang")).count() == 0
 
 
+def bayes_by_hand(rows, labels):
+    """Everything that ``host_bayes.classify`` says but the verdict, by row; ``labels`` by doc_id."""
+
+    def binned(text):
+        n, chars, symbols, dup_lines, repeats = rule_measures(text)
+        text, w = text or "", words(text)
+        value = {
+            "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeats, "n_distinct": len(set(w)),
+            "n_lines": sum(bool(WORD.search(x)) for x in text.split("\n")), "n_capitals": len(re.findall("[A-Z]", text)), "n_shouts": len(re.findall("[!?]", text)), "n_stops": text.count("."),
+        }
+        return {f: sum((value[a] / max(value[b], 1) if b else value[a]) >= x for x in bounds) for f, (a, b, bounds) in host_bayes.FEATURES.items()}
+
+    bins = [binned(t) for _, t, _, _ in rows]
+    told = [(b, labels[i] > 0) for b, (i, *_) in zip(bins, rows) if i in labels]
+    n = Counter(y for _, y in told)
+    ratio = lambda f, k, y: (sum(b[f] == k and z == y for b, z in told) + host_bayes.SMOOTH) / (n[y] + host_bayes.SMOOTH * (len(host_bayes.FEATURES[f][2]) + 1))
+    evidence = [sum(host_bayes.TEMPER * math.log(ratio(f, b[f], True) / ratio(f, b[f], False)) for f in b) for b in bins]
+    first = (n[True] + host_bayes.SMOOTH) / (len(told) + 2 * host_bayes.SMOOTH)
+    chance = lambda x: 1 / (1 + math.exp(-x))
+    alone = [chance(math.log(first / (1 - first)) + e) for e in evidence]
+    keys = [(h or "", p or "") for _, _, h, p in rows]
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for key, a in zip(keys, alone):
+        paths[key].append(a)
+        hosts[key[0]].append(a)
+    prior = (sum(alone) + first) / (len(alone) + 1)
+
+    def strength(groups, centre):
+        means = [(len(v), sum(v) / len(v), centre(k)) for k, v in groups.items()]
+        total = sum(m for m, _, _ in means)
+        return host_bayes.strength(prior, sum(m * (x - c) ** 2 for m, x, c in means) / total, sum(x * (1 - x) for _, x, _ in means) / total)
+
+    s = strength(hosts, lambda k: prior)
+    host = {k: (sum(v) + s * prior) / (len(v) + s) for k, v in hosts.items()}
+    s = strength(paths, lambda k: host[k[0]])
+    out = []
+    for (i, *_), key, e, a in zip(rows, keys, evidence, alone):
+        v, h = paths[key], host[key[0]]
+        others = min(max((sum(v) - a + s * h) / (len(v) - 1 + s), 1e-6), 1 - 1e-6)
+        out.append((i, e, h, (sum(v) + s * h) / (len(v) + s), chance(math.log(others / (1 - others)) + e)))
+    return out
+
+
+def test_posteriors_by_hand(spark, docs):
+    """Ties, repeated rows and rows without an id, a text or a site are among them."""
+    rows = docs.unionByName(awkward(spark).select(docs.columns))
+    labels = load(spark, FOLDER, "labels")
+    want = bayes_by_hand([(r["doc_id"], r["text"], r["source"], r["lang"]) for r in rows.collect()], {r["doc_id"]: r["quality"] for r in labels.collect()})
+    got = [tuple(r)[:5] for r in host_bayes.classify(rows, labels, F.col("source"), F.col("lang")).collect()]
+    order = lambda r: (str(r[0]), *[round(x, 6) for x in r[1:]])
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1e-9)
+
+
+def test_threshold_costs_least(spark):
+    draw = random.Random(4)
+    rows = [(i, draw.random()) for i in range(300)]
+    quality = {i: int(p + draw.gauss(0, 0.3) > 0.4) for i, p in rows}
+    scored = spark.createDataFrame(rows, "doc_id long, p_quality double")
+    at = host_bayes.threshold(scored, spark.createDataFrame(list(quality.items()), "doc_id long, quality int"))
+    cost = lambda t: sum(host_bayes.LOSS * (quality[i] == 1 and p < t) + (quality[i] == 0 and p >= t) for i, p in rows)
+    steps = [1 / (1 + math.exp(-k / host_bayes.STEPS)) for k in range(-19, 20)]
+    assert cost(at) == min(map(cost, steps)) and host_bayes.LEAST <= at <= host_bayes.MOST
+
+
 def test_sparse_sites_shrink():
     assert host_bayes.strength(0.8, 0.0, 0.01) == host_bayes.STRONGEST
     assert host_bayes.strength(0.5, 0.05, 0.0) == pytest.approx(4.0)
