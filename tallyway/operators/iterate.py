@@ -12,10 +12,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that all executors share."""
+    """``df`` computed once and kept in the folder that all executors share; on one machine alone it may be unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
