@@ -87,10 +87,10 @@ def frequent(rows: DataFrame, c: str, hot: DataFrame, bound: float) -> tuple[Dat
     return F.broadcast(contexts), hot_grams(counted.filter(F.col("w").isNotNull()), c, bound)
 
 
-def frequent_pairs(rows: DataFrame, hot: DataFrame, bound: float) -> DataFrame:
+def frequent_pairs(docs: DataFrame, hot: DataFrame, bound: float) -> DataFrame:
     """The broadcast table of the hot bigrams: only pairs of words of ``hot`` are counted."""
-    first, second = (F.broadcast(hot.select(F.col("number").alias(name))) for name in ("c2", "w"))
-    pairs = rows.join(second, "w", "left_semi").join(first, "c2", "left_semi")
+    first, second = (F.broadcast(hot.select(F.col("word").alias(name), F.col("number").alias(f"{name}_number"))) for name in ("c2", "w"))
+    pairs = terms(docs, 2).join(second, "w").join(first, "c2").select(F.col("c2_number").alias("c2"), F.col("w_number").alias("w"))
     return hot_grams(cut(pairs.groupBy("c2", "w").agg(F.count(F.lit(1)).alias("n"))), "c2", bound)
 
 
@@ -122,8 +122,8 @@ def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, backoff: fl
         raise ValueError("the order is at least two")
     each = docs.select(words(F.col("text")).alias("x")).select(F.size("x").alias("size"), F.posexplode("x").alias("at", "word"))
     last = F.sum((F.col("at") + 1 == F.col("size")).cast("int"))
-    table = cut(each.groupBy(F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("total"), last.alias("ends")))
-    table = table.select("word", "total", (F.col("total") - F.col("ends")).alias("m"))
+    table = each.groupBy(F.xxhash64("word").alias("word")).agg(F.count(F.lit(1)).alias("total"), last.alias("ends"))
+    table = stored(table.select("word", "total", (F.col("total") - F.col("ends")).alias("m")), "words")
     tokens = table.agg(F.sum("total")).first()[0] or 0
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PER_PART))
     bound = HOT_SHARE * tokens / width
@@ -147,7 +147,7 @@ def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, backoff: fl
 
     # Bigrams are partitioned by their second word, whose own count is then at hand. The counts of frequent words are told to
     # every task; what needs that of another first word keeps asking for it, the rest is summed by document at once.
-    grams = frequent_pairs(rows, common, bound)
+    grams = frequent_pairs(docs, common, bound)
     keep = [x for x in rows.columns if x != "at"]
     met = dealt(rows, keep, "w", "c2", F.broadcast(hot.select(F.col("number").alias("w"))), grams, width).filter(F.col("c2").isNotNull())
     met = met.join(grams, ["c2", "w"], "left").join(F.broadcast(told.select(F.col("number").alias("w"), "total")), "w", "left")
@@ -157,10 +157,12 @@ def score(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, backoff: fl
     own = F.when(n >= cutoff, F.log(n) - F.coalesce(F.log("m"), F.lit(0.0))).otherwise(backed) + step * failed(contexts[1:])
     value, asks = (own, F.lit(True)) if order == 2 else (F.coalesce("value", own), F.col("value").isNull())
     word = F.when(asks & (n >= cutoff) & F.col("m").isNull(), F.col("c2"))
-    sums = met.select("doc_id", word.alias("word"), value.alias("value")).groupBy("doc_id", "word").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
-    sums = stored(sums, "scores")
-    rare = sums.filter("word IS NOT NULL").join(table, "word").select("doc_id", (F.col("value") - F.col("n") * F.log("m")).alias("value"), "n")
-    parts = sums.filter("word IS NULL").select("doc_id", "value", "n").union(rare).select("doc_id", F.col("n").alias("n_scored"), F.col("value").alias("log_score"))
+    # Asking rows are told apart by a count and joined from the left (the table has every word), so that no filter on the
+    # word is pushed below the grouping: both branches read one shuffle.
+    counts = [F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"), F.count("word").alias("asks")]
+    sums = met.select("doc_id", word.alias("word"), value.alias("value")).groupBy("doc_id", "word").agg(*counts)
+    rare = sums.filter("asks > 0").join(table, "word", "left").select("doc_id", (F.col("value") - F.col("n") * F.log("m")).alias("value"), "n")
+    parts = sums.filter("asks = 0").select("doc_id", "value", "n").union(rare).select("doc_id", F.col("n").alias("n_scored"), F.col("value").alias("log_score"))
     none = docs.select("doc_id", F.lit(0).cast("bigint").alias("n_scored"), F.lit(0.0).alias("log_score"))
     total = parts.union(none).groupBy("doc_id").agg(F.sum("n_scored").alias("n_scored"), F.sum("log_score").alias("log_score"))
     return total.withColumn("mean_log_score", F.when(F.col("n_scored") > 0, F.col("log_score") / F.col("n_scored")))
