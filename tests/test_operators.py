@@ -63,6 +63,43 @@ def test_trees_agree_with_relaxation(spark):
     assert out == pytest.approx(5.0)
 
 
+def test_loads_of_joins_agree_with_trees(spark):
+    rng = np.random.default_rng(5)
+    links = {(a, (a + 1) % 30) for a in range(30)} | {(int(a), int(b)) for a, b in rng.integers(0, 30, (60, 2)) if a != b}
+    rows = [(k, a, b, float(rng.random() + 0.1) if k % 9 else 0.0) for k, (a, b) in enumerate(sorted(links))]
+    rows.append((len(rows), 40, 41, 1.0))  # nobody gets there
+    edges = pd.DataFrame(rows, columns=["edge", "src", "dst", "cost"])
+    asked = [(int(a), int(b), float(n)) for a, b, n in rng.integers(0, 30, (50, 3)) if a != b and n] + [(3, 41, 7.0)]
+    trips = spark.createDataFrame(asked, "origin long, dest long, trips double")
+    want = {r["edge"]: r["volume"] for r in paths.all_or_nothing(paths.Shared(spark, edges), edges["cost"].to_numpy(), trips, 3).collect()}
+    got = {r["edge"]: r["volume"] for r in paths.tree_loads(spark.createDataFrame(edges), trips).collect()}
+    assert got == pytest.approx(want)
+    assert paths.tree_loads(spark.createDataFrame(edges), trips.limit(0)).count() == 0
+
+
+def test_free_roads_make_no_circle(spark):
+    edges = spark.createDataFrame([(k, *e, 0.0) for k, e in enumerate([(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 0)])], "edge long, src long, dst long, cost double")
+    trips = spark.createDataFrame([(0, 3, 2.0), (2, 0, 1.0)], "origin long, dest long, trips double")
+    got = {r["edge"]: r["volume"] for r in paths.tree_loads(edges, trips).collect()}
+    assert got in ({0: 2.0, 2: 2.0, 4: 2.0, 3: 1.0, 1: 1.0}, {0: 2.0, 2: 2.0, 4: 3.0, 5: 1.0})
+
+
+def test_equilibrium_beyond_the_bound_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    ends = [(x * 4 + y, (x + dx) * 4 + y + dy) for x in range(4) for y in range(4) for dx, dy in ((1, 0), (0, 1), (1, 1)) if x + dx < 4 and y + dy < 4]
+    rows = [(e, a, b, float(rng.random() + 1), float(rng.integers(300, 900))) for e, (a, b) in enumerate(ends)]
+    edges = solver_edges(spark, rows).withColumn("open", F.col("edge") != 7)
+    trips = spark.createDataFrame([(0, 15, 2000.0), (1, 15, 700.0), (4, 11, 500.0), (0, 10, 900.0)], "origin long, dest long, trips double")
+    near, one = assign.equilibrium(edges, trips, iterations=2), assign.loads(edges, trips).collect()
+    monkeypatch.setattr(paths, "TOPOLOGY_EDGES", 0)
+    far = assign.equilibrium(edges, trips, iterations=2)
+    assert (far.iterations, far.gap) == (near.iterations, pytest.approx(near.gap))
+    flows = {r["edge"]: r["volume"] for r in far.frame(trips, 8).collect()}
+    assert flows == pytest.approx(near.edges.set_index("edge")["volume"].to_dict(), abs=1e-6)
+    assert {r["edge"]: r["volume"] for r in assign.loads(edges, trips).collect()} == pytest.approx({r["edge"]: r["volume"] for r in one})
+    assert assign.equilibrium(edges, trips.limit(0), far.frame(trips, 8)).gap == 0
+
+
 def line(spark, n, metres=500.0):
     walks = [(i, j, metres / model.WALK_MPS) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n]
     return spark.createDataFrame(walks, "src long, dst long, cost double")
