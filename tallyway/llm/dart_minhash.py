@@ -12,8 +12,9 @@ with equal words are one node from the start, each bucket links its members to i
 of the shingle sets decides, and only what is still in different classes within a bucket is compared further.
 
 Defined results: a text without words (null, empty, blank) has class of its own, its doc_id. Texts of fewer words
-than a shingle are alike only where their words are equal. Rows with a null doc_id have a null class. Rows that
-repeat a doc_id with another text get the class of their own text. Other columns don't matter.
+than a shingle are alike only where their words are equal. Rows with a null doc_id have a null class. A doc_id is taken to
+name one text: where rows repeat it with another text, all get one class, found by the bands of one of the texts. Other
+columns don't matter.
 """
 
 from __future__ import annotations
