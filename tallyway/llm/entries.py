@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyway.llm import ann, dart_minhash, host_bayes, lm_scoring, mixing, oracle, packing, secret_scan, token_files, warc, weak_rules
+from tallyway.llm import align, ann, dart_minhash, host_bayes, html_text, lm_scoring, mixing, oracle, packing, secret_scan, spelling, token_files, warc, weak_rules
 from tallyway.llm.tables import load
 
 
 #: The vocabulary that the token queries use; operators take any path.
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(load(spark, sf_dir, "pages"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spellings(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe": op1_multiprobe,
     "op2_host_bayes": op2_host_bayes,
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_token_files": op10_token_files,
+    "op11_ratio_text": op11_ratio_text,
+    "op12_alignment": op12_alignment,
+    "op13_spelling": op13_spelling,
 }
 
 #: The others pack, sketch, search, learn or tokenise, which SQL can't say; tests hold them against brute force.

