@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyway import model
@@ -12,32 +10,14 @@ from tallyway.functions import geo, roads
 from tallyway.operators import assign, demand, feeds, network, paths, scenario, snap, transit, views
 from tallyway.plans import oracle
 from tallyway.plans.derive import CHUNKS, CRASHES, SOUTH, WEST, Town
-from tallyway.plans.oracle import sql
+from tallyway.plans.register import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from tallyway.streaming import feeds as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 BLOCK = network.block_window(-77.3, 38.85, 4, CHUNKS)
 IN_BLOCK = lambda c: f"({c} % {CHUNKS.cols} BETWEEN {BLOCK[0]} AND {BLOCK[2]} AND {c} // {CHUNKS.cols} BETWEEN {BLOCK[1]} AND {BLOCK[3]})"
 CX, CY = oracle.crash_cell()
 
 
-def query(text: str | None = None, *relations: str):
-    def add(f: Callable[[Town], DataFrame]) -> Callable[[Town], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Town(spark, folder))
-        if text is not None:
-            ORACLE_SQL[f.__name__] = sql(text, *relations)
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 # ------------------------------------------------------------------ network
 
 
@@ -768,3 +748,6 @@ def peak_corridors(t: Town) -> DataFrame:
     rows = t.hourly.join(t.network, "edge")
     peak = feeds.daily_kpis(assign.kpis(rows, "hour").withColumnRenamed("mean_delay_s_per_traversal", "mean_delay_s")).select(F.col("peak_hour").cast("int").alias("hour"))
     return assign.busiest(rows.join(F.broadcast(peak), "hour")).select("edge", F.round("vc", 8).alias("vc"))
+
+
+from tallyway.plans import clouds  # noqa: E402, F401  registers its queries
