@@ -351,7 +351,7 @@ def kpi_delta(t: Town) -> DataFrame:
     return d.select("hour", vmt.alias("vmt"), F.round("vht", 1).alias("vht"), F.round("mean_delay_s_per_traversal", 2).alias("mean_delay_s_per_traversal"))
 
 
-@query()
+@query(oracle.relaxed("gates", "(SELECT src, dst, free_s AS c FROM network)") + " SELECT origin, node, round(cost,4) AS cost FROM reach", "gates", "network")
 def shortest_path_skim(t: Town) -> DataFrame:
     near = snap.to_few(t.zones.withColumnRenamed("zone", "point"), t.nodes.withColumnRenamed("node", "target")).select(F.col("point").alias("origin"), F.col("target").alias("node"), F.lit(0.0).alias("cost"))
     far = paths.relaxed(_solver_edges(t).select("src", "dst", F.col("free_s").alias("cost")), near)
@@ -414,7 +414,7 @@ def _calls(t: Town) -> DataFrame:
     return stops.join(way, "pattern").select("pattern", "seq", "node", (F.least("headway", F.lit(1800.0)) / 2).alias("wait_s"), (F.col("seq") * 60.0).alias("along_s"))
 
 
-@query()
+@query(oracle.relaxed("starts", "walks", "x.c<=3600") + " SELECT origin, node, round(cost,3) AS cost FROM reach", "starts", "walks")
 def isochrone_walk(t: Town) -> DataFrame:
     return rounded(transit.isochrone(_walks(t), None, _starts(t), 3600.0), 3)
 
