@@ -1,4 +1,4 @@
-"""HTML extraction, alignment of tokenizers and spelling variants on awkward tables and against brute force."""
+"""HTML extraction, alignment of tokenizers, spelling variants and nearest neighbours on awkward tables and against brute force."""
 
 import hashlib
 import html
@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from tallyway.llm import align, html_text, spelling
+from tallyway.llm import align, ann, html_text, spelling
 from tallyway.llm.tables import load
 
 FOLDER = "/root/testdata/sf0.001"
@@ -219,3 +221,67 @@ def test_spellings(spark, monkeypatch, split):
 def test_chain_of_forms(spark):
     forms = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(9)], "word string, form string")
     assert {tuple(r) for r in spelling.roots(forms).select("word", "root").collect()} == {(f"w{k}", "w9") for k in range(9)}
+
+
+# ------------------------------------------------------- nearest neighbours
+
+
+def nearest_by_hand(x, ids, q, k=20):
+    score = np.einsum("ij,j->i", x, x[q])
+    order = [j for j in np.lexsort((ids, -score)) if ids[j] != ids[q]]
+    return [int(ids[j]) for j in order[:k]]
+
+
+def recall_of(spark, x, asked):
+    frame = ann.vectors_of(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"))
+    got = defaultdict(set)
+    for r in ann.search(frame, frame.filter(F.col("vec_id").isin(asked))).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    ids = np.arange(len(x))
+    assert all(len(got[q]) == min(20, len(x) - 1) for q in asked)
+    return sum(len(got[q] & set(nearest_by_hand(x, ids, q))) for q in asked) / sum(min(20, len(x) - 1) for _ in asked)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "even", "norms", "one length far above"])
+def test_recall(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 64))
+    if kind == "clusters":
+        x += 3 * rng.standard_normal((6, 64))[np.arange(600) % 6]
+    elif kind == "norms":
+        x *= np.exp(rng.standard_normal(600))[:, None]
+    elif kind == "one length far above":
+        x[5] *= 1e4
+    assert recall_of(spark, x, list(range(0, 600, 20))) >= 0.9
+
+
+def test_recall_on_given_vectors(spark):
+    rows = ann.vectors_of(load(spark, "/root/testdata/sf0.01", "embeddings")).orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["vector"] for r in rows])
+    table = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = defaultdict(list)
+    for r in ann.search(table, table.filter("vec_id % 20 = 0")).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    asked = [k for k, i in enumerate(ids) if i % 20 == 0]
+    assert set(got) == {int(ids[k]) for k in asked}
+    assert sum(len(set(got[ids[k]]) & set(nearest_by_hand(x, ids, k))) for k in asked) >= 0.9 * 20 * len(asked)
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 12, 20, 21])
+def test_few_vectors_are_all_found(spark, n):
+    assert n == 1 or recall_of(spark, np.random.default_rng(n).standard_normal((n, 64)), list(range(n))) == 1.0
+    one = ann.vectors_of(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (None, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert n > 1 or ann.search(one, one).count() == 0
+
+
+def test_exhaustive_and_lengths(spark):
+    """With a recall of 1 the result is exact; vectors of another length are searched among themselves; repeated ids count once."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((90, 8))
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(0, x[0].tolist())] + [(1000 + i, v) for i, v in enumerate(rng.standard_normal((4, 5)).tolist())]
+    frame = ann.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for r in ann.search(frame, frame.filter("vec_id IN (0, 7, 1002)"), recall=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {q: got[q] for q in (0, 7)} == {q: nearest_by_hand(x, np.arange(90), q) for q in (0, 7)}
+    assert set(got[1002]) == {1000, 1001, 1003}
