@@ -18,7 +18,7 @@ import base64
 import hashlib
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from tallyway.llm.tables import cut, shared_path, small
 
 # Fixed values of the formats.
-DICTIONARY_FRAME = 0x184D2A5D
+DICTIONARY_FRAME, SKIPPABLE = 0x184D2A5D, 0x184D2A50
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+REPEATING = ("warc-concurrent-to",)
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 DATE = "2024-01-01T00:00:00Z"
@@ -118,13 +119,17 @@ class Writer:
             self.start()
 
 
-def parsed_headers(head: bytes) -> dict[str, str]:
+def parsed_headers(head: bytes, may_repeat: Callable[[str], bool]) -> dict[str, str]:
+    """Headers by name in lower case, the first where one may repeat. Repeating any other is an error, as it leaves open which holds."""
     found: dict[str, str] = {}
     for line in head.split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon or not name or name != name.strip():
             raise ValueError(f"not a header line: {line[:80]!r}")
-        found.setdefault(name.decode("ascii").lower(), value.strip().decode())
+        key = name.decode("ascii").lower()
+        if key in found and not may_repeat(key):
+            raise ValueError(f"repeated header: {key}")
+        found.setdefault(key, value.strip().decode())
     return found
 
 
@@ -136,7 +141,7 @@ def parsed(frame: bytes) -> Record:
     head, end, rest = rest.partition(b"\r\n\r\n")
     if not end:
         raise ValueError("the headers don't end")
-    headers = parsed_headers(head)
+    headers = parsed_headers(head, lambda name: name in REPEATING)
     if missing := [h for h in MANDATORY if h not in headers]:
         raise ValueError(f"missing headers: {missing}")
     told = headers["content-length"]
@@ -150,7 +155,7 @@ def parsed(frame: bytes) -> Record:
         if not status.startswith(b"HTTP/"):
             raise ValueError("no status line")
         http_head, _, record.payload = http.partition(b"\r\n\r\n")
-        record.http = parsed_headers(http_head)
+        record.http = parsed_headers(http_head, lambda name: name not in ("content-length", "content-type"))
         if headers["warc-type"] == "response":
             if record.http.get("content-length", str(len(record.payload))) != str(len(record.payload)):
                 raise ValueError("the payload doesn't fit its Content-Length")
@@ -160,7 +165,7 @@ def parsed(frame: bytes) -> Record:
 
 
 def records(file) -> Iterator[Record]:
-    """Records of an open archive, one frame at a time."""
+    """Records of an open archive, one frame at a time; skippable frames between them, such as seek tables, are passed over."""
     head = file.read(8)
     dictionary = None
     if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_FRAME:
@@ -174,6 +179,16 @@ def records(file) -> Iterator[Record]:
     unpack = zstandard.ZstdDecompressor(dict_data=dictionary)
     data, at = head, None
     while data or (data := file.read(CHUNK)):
+        while len(data) < 8 and (more := file.read(CHUNK)):
+            data += more
+        if len(data) >= 8 and SKIPPABLE <= struct.unpack("<I", data[:4])[0] < SKIPPABLE + 16:
+            left = 8 + struct.unpack("<I", data[4:8])[0]
+            while left > len(data):
+                left -= len(data)
+                if not (data := file.read(CHUNK)):
+                    raise ValueError("a skippable frame ends early")
+            data = data[left:]
+            continue
         at, parts = unpack.decompressobj(), []
         while True:
             parts.append(at.decompress(data))
@@ -230,17 +245,18 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
             for uri in batch.column("file").to_pylist():
                 store, path = pafs.FileSystem.from_uri(uri)
                 rows, held = [], 0
-                for r in records(store.open_input_stream(path, compression=None)):
-                    number = lambda h, r=r: int(r.headers[h]) if h in r.headers else None
-                    rows.append({
-                        "page_id": number("x-page-id"), "record_id": r.headers["warc-record-id"], "record_type": r.headers["warc-type"],
-                        "url": r.headers.get("warc-target-uri"), "payload_digest": r.headers["warc-payload-digest"].removeprefix("sha1:"),
-                        "payload_bytes": int(r.http["content-length"]), "payload": r.payload if payloads else None, "refers_to": number("x-refers-to-page-id"),
-                    })
-                    held += len(r.payload) if payloads else 200
-                    if held > 8 * CHUNK or len(rows) >= 5000:
-                        yield pa.RecordBatch.from_pylist(rows, READ)
-                        rows, held = [], 0
+                with store.open_input_stream(path, compression=None) as stream:
+                    for r in records(stream):
+                        number = lambda h, r=r: int(r.headers[h]) if h in r.headers else None
+                        rows.append({
+                            "page_id": number("x-page-id"), "record_id": r.headers["warc-record-id"], "record_type": r.headers["warc-type"],
+                            "url": r.headers.get("warc-target-uri"), "payload_digest": r.headers["warc-payload-digest"].removeprefix("sha1:"),
+                            "payload_bytes": int(r.http["content-length"]), "payload": r.payload if payloads else None, "refers_to": number("x-refers-to-page-id"),
+                        })
+                        held += len(r.payload) if payloads else 200
+                        if held > 8 * CHUNK or len(rows) >= 5000:
+                            yield pa.RecordBatch.from_pylist(rows, READ)
+                            rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, READ)
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))

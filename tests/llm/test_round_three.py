@@ -1,20 +1,24 @@
-"""HTML extraction, alignment of tokenizers, spelling variants and nearest neighbours on awkward tables and against brute force."""
+"""HTML extraction, alignment of tokenizers, spelling variants, nearest neighbours, mixing and archives on awkward tables and against brute force."""
 
 import hashlib
 import html
+import io
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from tallyway.llm import align, ann, html_text, spelling
+from tallyway.llm import align, ann, html_text, mixing, spelling, warc
 from tallyway.llm.tables import load
 
 FOLDER = "/root/testdata/sf0.001"
@@ -285,3 +289,97 @@ def test_exhaustive_and_lengths(spark):
         got[r["query_id"]].append(r["vec_id"])
     assert {q: got[q] for q in (0, 7)} == {q: nearest_by_hand(x, np.arange(90), q) for q in (0, 7)}
     assert set(got[1002]) == {1000, 1001, 1003}
+
+
+# ------------------------------------------------------- mixing
+
+
+def mixed_by_hand(rows, target):
+    """doc_id, source, tokens, copies, place, weight and epochs of (doc_id, text, source), by lists and one bisection after the other."""
+    number = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    each = [(i, s or "", number("" if i is None else str(i)) % mixing.BLOCKS, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in rows]
+    total = Counter()
+    for _, s, _, n in each:
+        total[s] += n
+    some = {s: n for s, n in total.items() if n}
+    whole = sum(some.values())
+    logs = {s: math.log(n / whole) for s, n in some.items()}
+
+    def even(a):
+        z = sum(math.exp(a * x) for x in logs.values())
+        return math.log(z) - sum(math.exp(a * x) * a * x for x in logs.values()) / z >= target.entropy * math.log(len(some))
+
+    def often(a):
+        z = sum(math.exp(a * x) for x in logs.values())
+        least, most = min(some.values()), max(some.values())
+        budget = target.tokens if target.tokens is not None else most * z / math.exp(a * math.log(most / whole))
+        return budget * math.exp(a * math.log(least / whole)) / z / least > target.repetition
+
+    def bisected(up):
+        lo, hi = 0.0, 1.0
+        if up(1.0):
+            return 1.0
+        for _ in range(mixing.HALVINGS):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if up(mid) else (lo, mid)
+        return lo
+
+    a = bisected(even) if target.entropy is not None else 0.0 if target.repetition is not None else 1.0
+    a = max(a, bisected(often)) if target.repetition is not None else a
+    p = {s: float(n) ** a for s, n in some.items()}
+    z = sum(p.values())
+    budget = target.tokens if target.tokens is not None else max((some[s] / p[s] for s in p), default=0) * z
+    epochs = {s: budget * p[s] / z / some[s] if s in some else 1.0 for s in total}
+    out = {}
+    for s in total:
+        blocks = Counter()
+        for _, own, b, n in each:
+            if own == s:
+                blocks[b] += n
+        order, before = sorted(blocks, key=lambda b: (number(f"{s}:{b}"), b)), 0
+        times = math.floor(round(epochs[s], 6))
+        for k, b in enumerate(order):
+            out[s, b] = (times + (before + blocks[b] / 2 < (round(epochs[s], 6) - times) * total[s]), (k + 0.5) / len(order), p[s] / z if s in p else 0.0, epochs[s])
+            before += blocks[b]
+    return [(i, s, n, *out[s, b]) for i, s, b, n in each]
+
+
+@pytest.mark.parametrize("target", [mixing.Target(entropy=0.98, repetition=3.0), mixing.Target(repetition=1.5), mixing.Target(entropy=0.9, tokens=5000), mixing.Target()])
+def test_mixing_by_hand(spark, target):
+    """The given documents, and rows that repeat, tie, have no source, no words or no doc_id."""
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in load(spark, FOLDER, "documents").collect()]
+    odd = [(5001, "a b c", None), (5001, "a b c", None), (5002, "a b c", ""), (5003, None, "silent"), (5004, "", "silent"), (None, "x y", "tie one"), (5005, "x y", "tie two"), (5006, STORY * 500, "long")]
+    rows = docs + odd
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, copies int")
+    key = lambda r: (str(r[0]), *r[1:])
+    got = sorted((tuple(r[c] for c in ("doc_id", "source", "n_tokens", "copies", "place", "weight", "epochs")) for r in mixing.mixed(frame, target).collect()), key=key)
+    want = sorted(mixed_by_hand(rows, target), key=key)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert all(g[4:] == pytest.approx(w[4:], rel=1e-6) for g, w in zip(got, want, strict=True))
+    assert mixing.mixed(frame.filter("doc_id < 0"), target).count() == 0
+
+
+# ------------------------------------------------------- WARC
+
+
+def test_repeated_headers_are_errors():
+    good = warc.spelled(1, "u", b"abc", None)
+    assert warc.parsed(good).payload == b"abc"
+    for name in (b"WARC-Type", b"Content-Length", b"WARC-Date"):
+        line = next(x for x in good.split(b"\r\n") if x.startswith(name))
+        with pytest.raises(ValueError, match="repeated header"):
+            warc.parsed(good.replace(line, line + b"\r\n" + line, 1))
+    twice = good.replace(b"WARC-Date", b"WARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nWARC-Date", 1)
+    assert warc.parsed(twice).headers["warc-concurrent-to"] == "<a>"
+
+
+def test_skippable_frames_between_records(monkeypatch):
+    frame = lambda size: struct.pack("<II", warc.SKIPPABLE + 3, size) + b"s" * size
+    pack = zstandard.ZstdCompressor(write_checksum=True)
+    found = [pack.compress(warc.spelled(k, "u", b"x" * k, None)) for k in range(4)]
+    data = frame(5) + found[0] + frame(0) + frame(3000) + found[1] + found[2] + frame(9) + found[3] + frame(40)
+    for chunk in (1 << 20, 7, 100):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        assert [len(r.payload) for r in warc.records(io.BytesIO(data))] == [0, 1, 2, 3]
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(data[:-1])))
