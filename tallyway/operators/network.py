@@ -97,28 +97,43 @@ def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, "node", "left_semi")
 
 
-#: Attributes in which the roads of a chain are alike; those that an edge table has.
+#: Attributes in which the roads of a chain are alike; those that an edge table has. Speeds may differ by less than SPEED_KPH from road to road.
 ALIKE = ("class", "lanes", "speed_kph")
+SPEED_KPH = 0.5
 
 
 def degree_two(edges: DataFrame) -> DataFrame:
     """Per node: neighbours, whether all its roads are alike in class, lanes and speed, and whether it can be taken out of a chain.
 
-    Chains of mixed direction stay: where a node has a road to a neighbour, it has one back, or all its roads run one way.
+    Speeds are alike if each road's, in the order of edge, is within SPEED_KPH of the one's before. Chains of mixed direction stay: where a node has a
+    road to a neighbour, it has one back, or all its roads run one way.
     """
-    kind = F.struct(*[c for c in ALIKE if c in edges.columns]).alias("kind")
-    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), kind, F.lit(1).alias("out"))
-    ends = ends.union(edges.select(F.col("dst"), F.col("src"), kind, F.lit(0)))
-    per = ends.groupBy("node", "other").agg(F.sum("out").alias("outs"), F.count(F.lit(1)).alias("n"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    same = F.struct(*[c for c in ALIKE[:2] if c in edges.columns]).alias("kind")
+    speed = F.col("speed_kph") if "speed_kph" in edges.columns else F.lit(0.0)
+    about = [same, speed.alias("speed"), "edge" if "edge" in edges.columns else F.lit(0).alias("edge")]
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("out"), *about)
+    ends = ends.union(edges.select(F.col("dst"), F.col("src"), F.lit(0), *about))
+    per = ends.groupBy("node", "other").agg(
+        F.sum("out").alias("outs"), F.count(F.lit(1)).alias("n"), F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.min("speed").alias("slow"), F.max("speed").alias("fast")
+    )
     seen = per.groupBy("node").agg(
-        F.count(F.lit(1)).alias("neighbours"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.count(F.lit(1)).alias("neighbours"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("slow").alias("slow"), F.max("fast").alias("fast"),
         F.min("outs").alias("o1"), F.max("outs").alias("o2"), F.min("n").alias("n1"), F.max("n").alias("n2"),
         F.max((F.col("node") == F.col("other")).cast("int")).alias("loops"),
     )
     two_way = (F.col("n1") == 2) & (F.col("n2") == 2) & (F.col("o1") == 1) & (F.col("o2") == 1)
     one_way = (F.col("n1") == 1) & (F.col("n2") == 1) & (F.col("o1") == 0) & (F.col("o2") == 1)
-    alike = F.col("lo") == F.col("hi")
-    return seen.select("node", "neighbours", alike.alias("alike"), ((F.col("neighbours") == 2) & alike & (F.col("loops") == 0) & (two_way | one_way)).alias("collapsible"))
+    shape = (F.col("neighbours") == 2) & (F.col("loops") == 0) & (two_way | one_way)
+    kinds, close = F.col("lo") == F.col("hi"), F.col("fast") - F.col("slow") < SPEED_KPH
+    told = seen.select("node", "neighbours", kinds.alias("kinds"), close.alias("close"), shape.alias("shape"))
+    if "speed_kph" in edges.columns:  # a chain's node has four roads at most, so they fit in one row
+        doubtful = told.filter("kinds AND shape AND NOT close").select("node")
+        in_order = ends.join(doubtful, "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("edge", "speed"))).alias("all"))
+        steps = F.zip_with(F.slice("all", 2, 4), F.slice("all", 1, 4), lambda b, a: F.abs(b["speed"] - a["speed"]) < SPEED_KPH)
+        stepwise = in_order.select("node", (~F.exists(steps, lambda x: F.coalesce(~x, F.lit(False)))).alias("stepwise"))
+        told = told.join(stepwise, "node", "left").withColumn("close", F.col("close") | F.coalesce("stepwise", F.lit(False)))
+    alike = F.col("kinds") & F.col("close")
+    return told.select("node", "neighbours", alike.alias("alike"), (alike & F.col("shape")).alias("collapsible"))
 
 
 def simplified(edges: DataFrame) -> DataFrame:

@@ -108,6 +108,24 @@ def simplify_degree2(t: Town) -> DataFrame:
     return rounded(network.simplified(t.edges.filter("class < 3")), 4).withColumn("shape", F.array_join("shape", "-"))
 
 
+@query(
+    """, e AS (SELECT edge, src, dst, class, lanes, speed_kph+0.3::DOUBLE*(edge%3) AS kph, len_m FROM network WHERE class<5),
+    ends AS (SELECT src AS node, dst AS other, edge, class, lanes, kph, 1 AS o FROM e UNION ALL SELECT dst, src, edge, class, lanes, kph, 0 FROM e),
+    steps AS (SELECT *, abs(kph-lag(kph) OVER (PARTITION BY node ORDER BY edge))>=0.5 AS apart FROM ends),
+    per AS (SELECT node, other, sum(o) AS outs, count(*) AS n, min(class*100+lanes) AS lo, max(class*100+lanes) AS hi, bool_or(coalesce(apart,false)) AS apart FROM steps GROUP BY node, other),
+    flag AS (SELECT node FROM per GROUP BY node HAVING count(*)=2 AND min(lo)=max(hi) AND NOT bool_or(apart) AND NOT bool_or(node=other) AND ((min(n)=2 AND max(n)=2 AND min(outs)=1 AND max(outs)=1) OR (min(n)=1 AND max(n)=1 AND min(outs)=0 AND max(outs)=1))),
+    walk AS (SELECT edge AS piece, edge, src, src AS prev, dst AS last, kph, len_m, 1 AS parts FROM e WHERE src NOT IN (SELECT node FROM flag)
+        UNION ALL SELECT n.edge, w.edge, w.src, w.last, n.dst, w.kph, w.len_m+n.len_m, parts+1 FROM walk w JOIN flag f ON f.node=w.last JOIN e n ON n.src=w.last AND n.dst<>w.prev)
+    SELECT edge, src, last AS dst, round(kph,4) AS speed_kph, round(len_m,4) AS len_m, CAST(parts AS BIGINT) AS parts FROM walk WHERE last NOT IN (SELECT node FROM flag) AND last<>src
+    UNION ALL SELECT edge, src, dst, round(kph,4), round(len_m,4), 1 FROM e WHERE edge NOT IN (SELECT piece FROM walk)""",
+    "network",
+)
+def simplify_network(t: Town) -> DataFrame:
+    """The network without its residential roads, whose speeds were measured and differ a little from road to road."""
+    measured = t.network.withColumn("speed_kph", F.col("speed_kph") + F.lit(0.3) * (F.col("edge") % 3)).filter("class < 5")
+    return rounded(network.simplified(measured).select("edge", "src", "dst", "speed_kph", "len_m", "parts"), 4)
+
+
 @query(f"SELECT cx, cy, round(avg(lon),8) AS lon, round(avg(lat),8) AS lat, count(*) AS members FROM chunked WHERE lon BETWEEN -77.54 AND -77.04 AND lat BETWEEN 38.60 AND 39.06 GROUP BY cx, cy", "chunked")
 def zones_centroids(t: Town) -> DataFrame:
     key = F.struct(geo.cell_x(F.col("lon"), CHUNKS).alias("cx"), geo.cell_y(F.col("lat"), CHUNKS).alias("cy"))

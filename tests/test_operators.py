@@ -280,3 +280,17 @@ def test_shares_of_the_day_sum_to_one():
     assert sum(model.HOUR_SHARE) == pytest.approx(1.0)
     with pytest.raises(ValueError):
         model.Grid.cover((1.0, 0.0, 1.0, 2.0), 100.0)
+
+
+def test_speeds_within_half_a_kph_are_one_road(spark):
+    """A chain of 50.0 and 50.3 is one road each way; of 50.0 and 50.5 it isn't; from road to road counts, not from end to end."""
+    def both_ways(*speeds):
+        rows = [(2 * k + back, *((k, k + 1) if not back else (k + 1, k)), 5, 1, v, 100.0) for k, v in enumerate(speeds) for back in (0, 1)]
+        return spark.createDataFrame(rows, "edge long, src long, dst long, class int, lanes int, speed_kph double, len_m double")
+
+    chains = lambda *speeds: sorted((r["src"], r["dst"], r["speed_kph"], r["len_m"]) for r in network.simplified(both_ways(*speeds)).collect())
+    assert chains(50.0, 50.3) == [(0, 2, 50.0, 200.0), (2, 0, 50.3, 200.0)]
+    assert len(chains(50.0, 50.5)) == 4
+    assert chains(50.0, 50.4, 50.8) == [(0, 3, 50.0, 300.0), (3, 0, 50.8, 300.0)]
+    flags = {r["node"]: r["collapsible"] for r in network.degree_two(both_ways(50.0, 50.3, 51.0)).collect()}
+    assert flags == {0: False, 1: True, 2: False, 3: False}
