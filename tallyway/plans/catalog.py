@@ -768,4 +768,4 @@ def peak_corridors(t: Town) -> DataFrame:
     return assign.busiest(rows.join(F.broadcast(peak), "hour")).select("edge", F.round("vc", 8).alias("vc"))
 
 
-from tallyway.plans import clouds  # noqa: E402, F401  registers its queries
+from tallyway.plans import clouds, what_if  # noqa: E402, F401  they register their queries
