@@ -297,12 +297,13 @@ def wardrop_split(t: Town) -> DataFrame:
     return demand.trips(t.commutes).select("origin", "dest", F.round(first, 4).alias("first_route"))
 
 
-def _zone_trips(t: Town, hour: int) -> DataFrame:
-    """Trips of an hour between the nodes nearest the zones."""
-    rows = demand.hourly(demand.trips(t.commutes), model.hour_shares(t.spark).filter(F.col("hour") == hour))
+def _zone_trips(t: Town, hour: int | None) -> DataFrame:
+    """Trips of an hour (None: of all, with hour) between the nodes nearest the zones."""
+    shares = model.hour_shares(t.spark)
+    rows = demand.hourly(demand.trips(t.commutes), shares if hour is None else shares.filter(F.col("hour") == hour))
     near = snap.to_few(t.zones.withColumnRenamed("zone", "point"), t.nodes.withColumnRenamed("node", "target")).select(F.col("point").alias("zone"), F.col("target").alias("node"))
     a, b = (near.select(F.col("zone").alias(c), F.col("node").alias(f"{c}_node")) for c in ("origin", "dest"))
-    return rows.join(F.broadcast(a), "origin").join(F.broadcast(b), "dest").select(F.col("origin_node").alias("origin"), F.col("dest_node").alias("dest"), "trips")
+    return rows.join(F.broadcast(a), "origin").join(F.broadcast(b), "dest").select(F.col("origin_node").alias("origin"), F.col("dest_node").alias("dest"), "trips", *(["hour"] if hour is None else []))
 
 
 def _solver_edges(t: Town) -> DataFrame:
@@ -321,6 +322,13 @@ def hour_assignment(t: Town) -> DataFrame:
     return assign.kpis(volumes, "hour").withColumns({"iterations": F.lit(result.iterations), "gap": F.lit(result.gap)})
 
 
+@query()
+def sweep_daily(t: Town) -> DataFrame:
+    """Every edge's day under assigned traffic: all 24 hours, in jobs that they share."""
+    hours = assign.sweep_together(_solver_edges(t), _zone_trips(t, None), list(range(24)), tag="sweep_daily")
+    return rounded(assign.daily(hours), 3)
+
+
 @query()
 def hour_under_edits(t: Town) -> DataFrame:
     """Hour 8 with every edit and every added road, starting from the flows without them: measures of both, and what changed."""

@@ -294,3 +294,46 @@ def test_speeds_within_half_a_kph_are_one_road(spark):
     assert chains(50.0, 50.4, 50.8) == [(0, 3, 50.0, 300.0), (3, 0, 50.8, 300.0)]
     flags = {r["node"]: r["collapsible"] for r in network.degree_two(both_ways(50.0, 50.3, 51.0)).collect()}
     assert flags == {0: False, 1: True, 2: False, 3: False}
+
+
+def test_hours_together_are_the_hours_alone(spark, monkeypatch):
+    """All hours in shared jobs give what each gives by itself, an idle hour has no flows, and a day adds up."""
+    edges = solver_edges(spark, [(0, 0, 1, 60.0, 1200.0), (1, 0, 2, 50.0, 900.0), (2, 1, 3, 50.0, 900.0), (3, 2, 3, 60.0, 1200.0), (4, 1, 2, 10.0, 700.0), (5, 3, 0, 30.0, 500.0)])
+    trips = spark.createDataFrame([(h, 0, 3, 600.0 * h) for h in range(1, 5)] + [(2, 3, 1, 50.0), (2, 3, 1, 50.0)], "hour int, origin long, dest long, trips double")
+    hours = [0, 1, 2, 3, 4]
+    got = assign.sweep_together(edges, trips, hours, tag="day").cache()
+    rows = {(r["hour"], r["edge"]): r for r in got.collect()}
+    for h in hours:
+        alone = assign.equilibrium(edges, trips.filter(f"hour = {h}").drop("hour"))
+        assert all(rows[h, r.edge].volume == pytest.approx(r.volume, abs=1e-6) for r in alone.edges.itertuples())
+        assert rows[h, 0]["iterations"] == alone.iterations and rows[h, 0]["gap"] == pytest.approx(alone.gap)
+    assert all(rows[0, e]["volume"] == 0 for e in range(6))
+    day = {r["edge"]: r for r in assign.daily(got).collect()}
+    assert day[0]["daily"] == pytest.approx(sum(rows[h, 0]["volume"] for h in hours)) and day[0]["peak_hour"] == 4
+    assert [r["edge"] for r in assign.busiest(got.groupBy("edge", "len_m", "free_s", "capacity_vph", "open").agg(F.sum("volume").alias("volume")), 2).collect()]
+    monkeypatch.setattr(assign.paths, "TOPOLOGY_EDGES", 10)  # five hours of six edges are too many for one job
+    apart = {(r["hour"], r["edge"]): r["volume"] for r in assign.sweep_together(edges, trips, [1, 3]).collect()}
+    assert all(v == pytest.approx(rows[k]["volume"], rel=0.02, abs=1.0) for k, v in apart.items())
+
+
+def test_a_sweep_can_be_cancelled(spark):
+    """Cancelling its tag from another thread ends it."""
+    import threading
+
+    edges = solver_edges(spark, [(0, 0, 1, 60.0, 1200.0), (1, 0, 1, 110.0, 3000.0)])
+    trips = spark.createDataFrame([(h, 0, 1, 3000.0) for h in range(24)], "hour int, origin long, dest long, trips double")
+    stop = threading.Event()
+
+    def cancel():
+        while not stop.wait(0.2):
+            spark.sparkContext.cancelJobsWithTag("to be cancelled")
+
+    thread = threading.Thread(target=cancel)
+    thread.start()
+    try:
+        with pytest.raises(Exception, match="(?i)cancel"):
+            assign.sweep_together(edges, trips, list(range(24)), 1000, 0.0, tag="to be cancelled")
+    finally:
+        stop.set()
+        thread.join()
+    assert assign.sweep_together(edges, trips, [0], 2, tag="to be cancelled").count() == 2
