@@ -30,6 +30,29 @@ def cell_y(lat: Column, grid: Grid) -> Column:
     return clamped((lat - grid.south) / grid.lat_deg, grid.rows - 1)
 
 
+#: How near a boundary a corner counts as on it, in cells.
+ON_BOUNDARY = 1e-9
+
+
+def corner_cell(value: Column, low: float, size: float, cells: int, upper: bool) -> Column:
+    """The cell of a window's corner along an axis: on a boundary the lower corner takes the cell that starts there, the upper the one that ends there.
+
+    So a window that spans two cells exactly has two, and not three. Corners beyond the grid take its outermost cell.
+    """
+    raw = (value - low) / size
+    nearest = F.floor(raw + 0.5)
+    at = F.when(F.abs(raw - nearest) < ON_BOUNDARY, nearest - int(upper)).otherwise(F.floor(raw))
+    return F.least(F.greatest(at, F.lit(0)), F.lit(cells - 1)).cast("bigint")
+
+
+def window_cells(west: Column, south: Column, east: Column, north: Column, grid: Grid) -> tuple[Column, Column, Column, Column]:
+    """First and last column and row of the cells that a window takes."""
+    return (
+        corner_cell(west, grid.west, grid.lon_deg, grid.cols, False), corner_cell(south, grid.south, grid.lat_deg, grid.rows, False),
+        corner_cell(east, grid.west, grid.lon_deg, grid.cols, True), corner_cell(north, grid.south, grid.lat_deg, grid.rows, True),
+    )
+
+
 def chunk_of(lon: Column, lat: Column, grid: Grid) -> Column:
     return cell_y(lat, grid) * grid.cols + cell_x(lon, grid)
 

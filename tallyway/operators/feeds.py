@@ -19,6 +19,12 @@ def crash_cells(crashes: DataFrame, grid: Grid) -> DataFrame:
     })
 
 
+def year_range(crashes: DataFrame) -> DataFrame:
+    """first_year and last_year of ``crashes(yr)``, years that aren't told aside; both null without any."""
+    told = F.when(F.col("yr") > 0, F.col("yr"))
+    return crashes.agg(F.min(told).alias("first_year"), F.max(told).alias("last_year"))
+
+
 def position(geom_lon: Column, geom_lat: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
     """A crash's place: its geometry, else its coordinates where neither is zero."""
     has, told = geom_lon.isNotNull() & geom_lat.isNotNull(), (lon != 0) & (lat != 0)

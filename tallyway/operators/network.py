@@ -87,6 +87,12 @@ def in_window(chunk: Column, window: tuple[int, int, int, int], grid: Grid) -> C
     return x.between(window[0], window[2]) & y.between(window[1], window[3])
 
 
+def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row per ``key``, the first in ``order``: an edge that its own file and a neighbour's hold counts once. Combined before it is shuffled."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("row")).select(*[F.col(key) if c == key else F.col(f"row.{c}").alias(c) for c in rows.columns])
+
+
 def loaded(edges: DataFrame, resident: Column, other: Column) -> DataFrame:
     """Edges with an end in the area; ``boundary`` where the other end lies outside."""
     return edges.withColumns({"a_in": resident, "b_in": other}).filter("a_in OR b_in").withColumn("boundary", ~(F.col("a_in") & F.col("b_in"))).drop("a_in", "b_in")

@@ -1,4 +1,4 @@
-"""Queries over point clouds: octree, chunk sink and its index."""
+"""Queries over point clouds, octree, chunk sink and its index, and over the grid of chunks."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyway.operators import octree
+from tallyway.functions import geo
+from tallyway.operators import feeds, network, octree
 from tallyway.operators.iterate import shared
-from tallyway.plans.derive import Town
+from tallyway.plans.derive import CHUNKS, Town
 from tallyway.plans.register import query, rounded
 from tallyway.sources import chunk_sink
 
@@ -86,3 +87,38 @@ def cloud_attached(t: Town) -> DataFrame:
     old = t.table("nation").select(*line(F.concat(F.lit("graph/"), k.cast("string")), "graph", k))
     stale = t.table("nation").filter("n_nationkey = 3").select(*line(F.concat(F.lit("lidar/chunk_"), k.cast("string")), "lidar", F.lit(-1).cast("bigint")))
     return chunk_sink.attached(old.unionByName(stale), t.spark, _sunk(t)).select("path", "stage", "rows")
+
+
+_SIDES = (("c0", "west", "lon", 0), ("r0", "south", "lat", 0), ("c1", "west", "lon", 1), ("r1", "south", "lat", 1))
+
+
+def _corner_sql(name: str, low: str, axis: str, upper: int) -> str:
+    size, most = (CHUNKS.lon_deg, CHUNKS.cols) if axis == "lon" else (CHUNKS.lat_deg, CHUNKS.rows)
+    raw = f"((({axis}{upper})-({getattr(CHUNKS, low)!r}::DOUBLE))/{size!r}::DOUBLE)"
+    return f"CAST(least(greatest(CASE WHEN abs({raw}-floor({raw}+0.5))<1e-9 THEN floor({raw}+0.5)-{upper} ELSE floor({raw}) END,0),{most - 1}) AS BIGINT) AS {name}"
+
+
+@query(
+    f"""SELECT part, {', '.join(_corner_sql(*s) for s in _SIDES)} FROM (SELECT p_partkey AS part, {CHUNKS.west!r}::DOUBLE+(p_partkey%23)*{CHUNKS.lon_deg!r}::DOUBLE AS lon0, {CHUNKS.south!r}::DOUBLE+(p_partkey%19-1)*{CHUNKS.lat_deg!r}::DOUBLE/2 AS lat0,
+    {CHUNKS.west!r}::DOUBLE+(p_partkey%23+p_size%4+1)*{CHUNKS.lon_deg!r}::DOUBLE AS lon1, {CHUNKS.south!r}::DOUBLE+(p_partkey%19+p_size%5)*{CHUNKS.lat_deg!r}::DOUBLE/2 AS lat1 FROM part)"""
+)
+def window_cells(t: Town) -> DataFrame:
+    """The cells that a window of each part takes; many corners lie on a boundary, some beyond the grid."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    lon, lat = (lambda i: F.lit(CHUNKS.west) + i * F.lit(CHUNKS.lon_deg)), (lambda i: F.lit(CHUNKS.south) + i * F.lit(CHUNKS.lat_deg) / 2)
+    c0, r0, c1, r1 = geo.window_cells(lon(k % 23), lat(k % 19 - 1), lon(k % 23 + size % 4 + 1), lat(k % 19 + size % 5), CHUNKS)
+    return t.table("part").select(k.alias("part"), c0.alias("c0"), r0.alias("r0"), c1.alias("c1"), r1.alias("r1"))
+
+
+@query("SELECT edge, min(chunk) AS chunk, count(*) AS files FROM (SELECT edge, src_chunk AS chunk FROM placed UNION ALL SELECT edge, dst_chunk FROM placed WHERE src_chunk<>dst_chunk) GROUP BY edge", "placed")
+def edges_once(t: Town) -> DataFrame:
+    """Each edge once, from the first of the files that hold it, and how many do."""
+    placed = network.with_chunks(t.edges, t.nodes, CHUNKS)
+    held = placed.select("edge", F.explode(F.array_distinct(F.array("src_chunk", "dst_chunk"))).alias("chunk"))
+    files = held.groupBy("edge").agg(F.count(F.lit(1)).alias("files"))
+    return network.first_wins(held, "edge", "chunk").join(files, "edge").select("edge", "chunk", "files")
+
+
+@query("SELECT min(yr) AS first_year, max(yr) AS last_year FROM crashes", "crashes")
+def crash_years(t: Town) -> DataFrame:
+    return feeds.year_range(t.crashes)

@@ -87,3 +87,67 @@ def roads_of(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, float,
     kept = ways.filter(name.isNotNull() & open_ & (F.lit(keep_service) | (name != "service")))
     known = kept.select("way", "refs", name.alias("class_name"), tag("lanes").try_cast("int").alias("lanes"), roads.max_speed_kph(tag("maxspeed")).alias("speed_kph"), roads.one_way(tag("oneway")).alias("way_direction"))
     return network.ways_to_edges(known, inside, F.col("way_direction"))
+
+
+def in_file_order(raw: DataFrame) -> DataFrame:
+    """``raw``, as a text source reads it, with place: file, split and row within it, in the order in which the files have the rows.
+
+    Rows of a split are read one after the other by one task, so the number that grows within the task orders them; files are ordered by path.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return raw.select("*", place.alias("place"))
+
+
+def block_positions(spark: SparkSession, path: str) -> DataFrame:
+    """block, lon and lat from a census crosswalk (columns tabblk2020, blklatdd, blklondd in any case and place); the last row of a block holds.
+
+    Rows of which one doesn't parse are skipped, and don't replace an earlier one. A file without one of the columns is an error.
+    """
+    raw = in_file_order(spark.read.option("header", True).csv(path))
+    by = {c.strip().lower(): c for c in raw.columns}
+    wanted = {"block": ("tabblk2020", "bigint"), "lat": ("blklatdd", "double"), "lon": ("blklondd", "double")}
+    if missing := [c for c, _ in wanted.values() if c not in by]:
+        raise ValueError(f"columns {missing} are not in {path}")
+    rows = raw.select("place", *[F.trim(F.col(f"`{by[c]}`")).try_cast(t).alias(n) for n, (c, t) in wanted.items()]).dropna()
+    return rows.groupBy("block").agg(F.max_by(F.struct("lon", "lat"), "place").alias("at")).select("block", "at.lon", "at.lat")
+
+
+def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """The manifest's lines and its hash, which names what was made from it; lines in another order are the same manifest."""
+    lines = spark.read.json(path)
+    row = lines.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(lines.columns)))).cast("decimal(20,0)")).alias("h")).first()
+    return lines, f"{int(row['h'] or 0) % 2**64:016x}-{row['n']}"
+
+
+def chunked_network(spark: SparkSession, path: str, index: DataFrame, chunks: list[int] | None = None) -> DataFrame:
+    """The edges of all chunks of a network that ``writers.chunked`` wrote, or of some, whose folders alone are read.
+
+    ``index(chunk, edge_count)`` says what must be there: a chunk with more or fewer edges is an error, found when the rows are.
+    """
+    rows = spark.read.parquet(path).withColumn("chunk", F.col("chunk").cast("bigint"))
+    asked = index if chunks is None else index.filter(F.col("chunk").isin(chunks))
+    rows = rows if chunks is None else rows.filter(F.col("chunk").isin(chunks))
+    counted = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).join(asked.select("chunk", "edge_count"), "chunk", "full")
+    bad = counted.filter("coalesce(n, 0) <> coalesce(edge_count, 0)").orderBy("chunk").limit(1).collect()
+    if bad:
+        raise ValueError(f"chunk {bad[0]['chunk']} has {bad[0]['n'] or 0} edges and not {bad[0]['edge_count'] or 0}")
+    return rows
+
+
+def cloud_index(texts: DataFrame) -> DataFrame:
+    """cx, cy, bytes, points and ground_min of each chunk that the index in ``texts(value)`` names, one document a row.
+
+    Lenient, as others write it: chunks are under ``chunks`` or at the top; keys are ``x_y``, with or without folder, ``chunk_`` and ``.bin``; keys of
+    another form and entries that are no objects are passed over; numbers that are none are 0. Keys that name the same chunk: the last in the order of keys holds.
+    """
+    value = F.try_parse_json("value")
+    table = F.coalesce(F.try_variant_get(value, "$.chunks", "map<string,variant>"), F.try_variant_get(value, "$", "map<string,variant>"))
+    each = texts.select(F.explode(table).alias("key", "entry"))
+    place = r"(?:^|/)(?:chunk_)?(\d+)_(\d+)(?:\.bin)?$"
+    number = lambda name: F.when(F.schema_of_variant(F.try_variant_get("entry", f"$.{name}", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.try_variant_get("entry", f"$.{name}", "double"))
+    rows = each.filter(F.col("key").rlike(place) & F.schema_of_variant("entry").startswith("OBJECT")).select(
+        "key", *[F.regexp_extract("key", place, g).try_cast("bigint").alias(c) for g, c in ((1, "cx"), (2, "cy"))],
+        F.coalesce(number("bytes"), F.lit(0)).cast("bigint").alias("bytes"), F.coalesce(number("points"), F.lit(0)).cast("bigint").alias("points"),
+        F.coalesce(number("ground_min"), number("groundMin"), F.lit(0.0)).alias("ground_min"),
+    )
+    return rows.groupBy("cx", "cy").agg(F.max_by(F.struct("bytes", "points", "ground_min"), "key").alias("e")).select("cx", "cy", "e.*")

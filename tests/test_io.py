@@ -1,7 +1,9 @@
 """Readers, sinks and streams."""
 
 import json
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyway.model import STUDY_BBOX, Grid
@@ -70,3 +72,50 @@ def test_a_stream_of_crashes_equals_the_batch(spark, tmp_path):
 def test_grid_cells_cover_the_box():
     grid = Grid.cover(STUDY_BBOX, 2000.0)
     assert grid.cols * grid.lon_deg >= STUDY_BBOX[2] - STUDY_BBOX[0] and grid.rows * grid.lat_deg >= STUDY_BBOX[3] - STUDY_BBOX[1]
+
+
+def test_last_duplicate_of_a_block_wins(spark, tmp_path):
+    """Order is that of the files and of the rows in them; a row that doesn't parse replaces nothing."""
+    head = "ST,BLKLONDD,TabBlk2020, blklatdd\n"
+    rows = [f"51,{-77 - k / 1000},{510590000000000 + k % 40},{38 + k / 1000}\n" for k in range(2000)]
+    (tmp_path / "a.csv").write_text(head + "".join(rows))
+    (tmp_path / "b.csv").write_text(head + "51,-70.5,510590000000003,40.5\n51,x,510590000000004,40.5\n51,,510590000000005,1\n")
+    got = {r["block"] - 510590000000000: (round(r["lon"], 6), round(r["lat"], 6)) for r in readers.block_positions(spark, str(tmp_path)).collect()}
+    want = {k % 40: (round(-77 - k / 1000, 6), round(38 + k / 1000, 6)) for k in range(2000)} | {3: (-70.5, 40.5)}
+    assert got == want
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "d.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="tabblk2020"):
+        readers.block_positions(spark, str(tmp_path / "c"))
+
+
+def test_manifest_and_its_hash(spark, tmp_path):
+    files = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "path string, rows long")
+    for name, rows in (("one", files), ("two", files.orderBy(F.desc("path")).repartition(2)), ("other", files.withColumn("rows", F.col("rows") + 1))):
+        writers.manifest(rows, None, str(tmp_path / name))
+    lines, hash_ = readers.manifest(spark, str(tmp_path / "one"))
+    assert sorted(map(tuple, lines.select("path", "rows").collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    assert readers.manifest(spark, str(tmp_path / "two"))[1] == hash_ != readers.manifest(spark, str(tmp_path / "other"))[1]
+
+
+def test_whole_network_is_read_and_counted(spark, tmp_path):
+    edges = spark.createDataFrame([(7, 1), (8, 2), (9, 2)], "edge long, chunk long")
+    writers.chunked(edges, str(tmp_path / "g"))
+    index = spark.createDataFrame([(1, 1), (2, 2)], "chunk long, edge_count long")
+    assert sorted(r["edge"] for r in readers.chunked_network(spark, str(tmp_path / "g"), index).collect()) == [7, 8, 9]
+    some = readers.chunked_network(spark, str(tmp_path / "g"), index, [2])
+    assert sorted(r["edge"] for r in some.collect()) == [8, 9] and re.search(r"PartitionFilters: \[[^]]*chunk#\d+ = 2", some._jdf.queryExecution().executedPlan().toString())
+    with pytest.raises(ValueError, match="chunk 3 has 0 edges and not 4"):
+        readers.chunked_network(spark, str(tmp_path / "g"), index.union(spark.createDataFrame([(3, 4)], "chunk long, edge_count long")))
+
+
+def test_lenient_cloud_index(spark):
+    entries = {
+        "3_4": {"bytes": 10, "points": 2, "ground_min": 1.5}, "lidar/chunk_05_6.bin": {"bytes": "x", "groundMin": -2}, "chunk_7_8": {}, "chunk_1": {"bytes": 1}, "a_b": {"bytes": 1},
+        "9_9": 5, "8_8": None, "2_2": [1], "chunk_3_4.bin": {"bytes": 11},
+    }
+    for document in ({"chunks": entries, "grid": {"cols": 3}}, entries):
+        got = {tuple(r)[:2]: tuple(r)[2:] for r in readers.cloud_index(spark.createDataFrame([(json.dumps(document),)], "value string")).collect()}
+        assert got == {(3, 4): (11, 0, 0.0), (5, 6): (0, 0, -2.0), (7, 8): (0, 0, 0.0)}
+    odd = spark.createDataFrame([("",), (None,), ("5",), ("{",), ('{"chunks": 4}',), ("[]",)], "value string")
+    assert readers.cloud_index(odd).count() == 0

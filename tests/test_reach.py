@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyway.operators import transit
+from tallyway.operators import table_function, transit
 from tallyway.plans import catalog
 
 SUPPLIERS = {"s_suppkey": [0, 50, 75, 100, 150]}
@@ -113,3 +114,24 @@ def test_random_networks(spark):
         want |= {(k, 100 * k + n): round(c, 6) for n, c in swept_by_hand(own, patterns, 0, budget).items()}
     out = transit.isochrone(spark.createDataFrame(edges, "src long, dst long, cost double"), spark.createDataFrame(calls, CALLS), spark.createDataFrame(starts, "origin long, node long, cost double"), 2000.0)
     assert {(r["origin"], r["node"]): round(r["cost"], 6) for r in out.collect()} == want
+
+
+def test_table_function(spark):
+    """The function of SQL gives what the joins give, of walks alone and with rides; wrong arguments are told when the query is made."""
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(k, -77.5 + 0.01 * (k % 10), 38.6 + 0.01 * (k // 10)) for k in range(100)], "node long, lon double, lat double")
+    walks = [(a, b, 1200.0 + rng.randint(0, 300)) for a in range(100) for b in (a + 1, a - 1, a + 10, a - 10) if 0 <= b < 100 and abs(a % 10 - b % 10) <= 1]
+    calls = [(p, s, None if (p, s) == (2, 3) else 10 * p + 2 * s, 120.0, 150.0 * s) for p in range(0, 10, 2) for s in range(5)]
+    calls += [(1, s, 10 * s + 4, 60.0, 200.0 * s) for s in range(6)]
+    starts = spark.createDataFrame([(k, 7 * k, 0.0) for k in range(12)] + [(3, 50, 30.0)], "origin long, node long, cost double")
+    walks, calls = spark.createDataFrame(walks, "src long, dst long, cost double"), spark.createDataFrame(calls, CALLS)
+    key = lambda rows, c: {(r["origin"], r["node"]): round(r[c], 6) for r in rows.collect()}
+    for rides, budget in ((None, 3000.0), (calls, 2400.0), (calls, 600.0)):
+        want = key(transit.isochrone(walks, rides, starts, budget), "cost")
+        assert key(table_function.isochrone(starts, nodes, walks, rides, budget), "seconds") == want and len(want) >= 12
+    small = table_function.reach_rows(starts.filter("origin = 0"), nodes, walks, None, 800.0)
+    assert 0 < small.filter("kind = 'walk'").count() < walks.count() / 4
+    assert table_function.isochrone(starts.filter("false"), nodes, walks, calls, 600.0).count() == 0
+    for wrong in ("SELECT * FROM isochrone(TABLE({rows}), 'x')", "SELECT * FROM isochrone(TABLE(SELECT 1 AS origin), 5)"):
+        with pytest.raises(Exception, match="isochrone takes"):
+            spark.sql(wrong, rows=small)
