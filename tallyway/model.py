@@ -95,6 +95,8 @@ def hour_shares(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "hour int, share double, back double")
 
 
+#: Colour of a point under which no pixel lies.
+NO_COLOUR = "8c8c8c"
 # The classes that count as major, and the colours of volume over capacity.
 MAJOR_CLASSES = (0, 1, 2, 3)
 VC_COLOURS = (

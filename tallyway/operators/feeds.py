@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyway import model
 from tallyway.functions import geo, roads
 from tallyway.model import Grid
 
@@ -36,6 +37,22 @@ def crash_edges(snapped: DataFrame) -> DataFrame:
     return snapped.filter("edge IS NOT NULL").groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.sum("severity").cast("bigint").alias("severity_sum"), fatal.alias("fatal"))
 
 
+def of_edges(asked: DataFrame, crashed: DataFrame) -> DataFrame:
+    """What ``crash_edges`` says of each edge of ``asked(edge)``; edges without crashes have zeros."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return asked.select("edge").distinct().join(crashed, "edge", "left").select("edge", zero("n"), zero("severity_sum"), zero("fatal"))
+
+
+def parcel_cards(features: DataFrame) -> DataFrame:
+    """What is shown of each parcel of ``features(parcel_id, zone, category, land_use, assessed_value, area_m2)``: blank texts are null, untold numbers 0."""
+    told = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    number = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(c)
+    return features.select(
+        F.coalesce(told("parcel_id"), F.lit("(unknown)")).alias("parcel_id"), told("zone").alias("zone"), roads.zone_category(F.coalesce(told("category"), told("zone"))).alias("category"),
+        told("land_use").alias("land_use"), number("assessed_value"), number("area_m2"),
+    )
+
+
 def top_edges(snapped: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` edges with the most crashes; ties: smaller edge."""
     return snapped.filter("edge IS NOT NULL").groupBy("edge").agg(F.count(F.lit(1)).alias("crashes")).orderBy(F.desc("crashes"), "edge").limit(n)
@@ -139,9 +156,9 @@ def within_budget(chunks: DataFrame, lon: float, lat: float, budget: int) -> Dat
 
 
 def sampled(points: DataFrame, pixels: DataFrame, zoom: int, size: int = 256) -> DataFrame:
-    """Colour of the nearest pixel of ``pixels(tx, ty, px, py, colour)`` for ``points(point, lon, lat)``; null without one."""
+    """Colour of the nearest pixel of ``pixels(tx, ty, px, py, colour)`` for ``points(point, lon, lat)``; without one the middle grey, so that no hole looks black."""
     tx, ty = geo.tile(F.col("lon"), F.col("lat"), zoom)
     gx, gy = geo.tile(F.col("lon"), F.col("lat"), zoom + size.bit_length() - 1)
     at = points.withColumns({"tx": tx, "ty": ty, "px": gx % size, "py": gy % size})
-    return at.join(pixels, ["tx", "ty", "px", "py"], "left").select("point", "colour")
+    return at.join(pixels, ["tx", "ty", "px", "py"], "left").select("point", F.coalesce("colour", F.lit(model.NO_COLOUR)).alias("colour"))
 

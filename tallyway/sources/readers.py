@@ -40,6 +40,14 @@ def first_point(geometry: Column) -> Column:
     return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat")))
 
 
+def points(geometry: Column) -> Column:
+    """All positions of a geometry of any nesting, in the order of the document, as an array of structs lon, lat; empty without coordinates."""
+    pair = r"\[\s*(-?[0-9.]+(?:[eE][+-]?[0-9]+)?)\s*,\s*(-?[0-9.]+(?:[eE][+-]?[0-9]+)?)"
+    told = F.coalesce(F.get_json_object(geometry, "$.coordinates"), F.lit(""))
+    lon, lat = (F.regexp_extract_all(told, F.lit(pair), F.lit(k)) for k in (1, 2))
+    return F.zip_with(lon, lat, lambda x, y: F.struct(x.try_cast("double").alias("lon"), y.try_cast("double").alias("lat")))
+
+
 def census_csv(spark: SparkSession, path: str, **columns: str) -> DataFrame:
     """Gzipped or plain CSV: ``name=type`` columns found by header, whatever its case. Rows in which one doesn't parse are skipped."""
     raw = spark.read.option("header", True).csv(path)

@@ -20,6 +20,19 @@ def feature_lines(points: DataFrame, path: str) -> None:
     points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*rest).alias("properties"))).alias("value")).write.mode("overwrite").text(path)
 
 
+def feature_shapes(rows: DataFrame, shape: str, path: str, closed: bool = False) -> None:
+    """Lines, or with ``closed`` polygons of one ring, of ``shape`` (array of structs lon, lat), a JSON document per line; the other columns are properties.
+
+    A ring ends where it begins, whether or not its last corner says so.
+    """
+    rest = [c for c in rows.columns if c != shape]
+    corners = F.transform(shape, lambda p: F.array(p["lon"], p["lat"]))
+    ring = F.when(F.element_at(corners, 1) == F.element_at(corners, -1), corners).otherwise(F.concat(corners, F.slice(corners, 1, 1)))
+    geometry = F.struct(F.lit("Polygon" if closed else "LineString").alias("type"), (F.array(ring) if closed else corners).alias("coordinates"))
+    kept = rows.filter(F.size(shape) >= (3 if closed else 2))
+    kept.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*rest).alias("properties"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def zones_csv(zones: DataFrame, path: str) -> None:
     six = lambda c: F.format_string("%.6f", c).alias(c)
     zones.select("zone", six("lon"), six("lat")).write.mode("overwrite").option("header", True).csv(path)

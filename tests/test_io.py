@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallyway.functions import geo
 from tallyway.model import STUDY_BBOX, Grid
 from tallyway.operators import feeds
 from tallyway.plans.derive import CRASHES, Town
@@ -119,3 +120,27 @@ def test_lenient_cloud_index(spark):
         assert got == {(3, 4): (11, 0, 0.0), (5, 6): (0, 0, -2.0), (7, 8): (0, 0, 0.0)}
     odd = spark.createDataFrame([("",), (None,), ("5",), ("{",), ('{"chunks": 4}',), ("[]",)], "value string")
     assert readers.cloud_index(odd).count() == 0
+
+
+def test_positions_and_shapes(spark, tmp_path):
+    shapes = {
+        "Point": [1, 2.5], "LineString": [[1, 2], [-3.5, 4e1]], "Polygon": [[[0, 0], [1, 0], [1, 1]], [[5, 5], [6, 6]]], "MultiPolygon": [[[[1, 1, 9], [2, 2, 9]]]], "Empty": [], "Odd": "x",
+    }
+    rows = spark.createDataFrame([(k, json.dumps({"type": k, "coordinates": v})) for k, v in shapes.items()] + [("None", None), ("Bare", "{}")], "kind string, geometry string")
+    got = {r["kind"]: [tuple(p) for p in r["p"]] for r in rows.select("kind", readers.points(F.col("geometry")).alias("p")).collect()}
+    assert got == {
+        "Point": [(1, 2.5)], "LineString": [(1, 2), (-3.5, 40)], "Polygon": [(0, 0), (1, 0), (1, 1), (5, 5), (6, 6)], "MultiPolygon": [(1, 1), (2, 2)], "Empty": [], "Odd": [], "None": [], "Bare": [],
+    }
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]), (2, [(0.0, 0.0)]), (3, [(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)])], "id long, shape array<struct<lon:double,lat:double>>")
+    for closed, want in ((False, {1: [[0, 0], [1, 0], [1, 1]], 3: [[0, 0], [1, 0], [0, 0]]}), (True, {1: [[[0, 0], [1, 0], [1, 1], [0, 0]]], 3: [[[0, 0], [1, 0], [0, 0]]]})):
+        writers.feature_shapes(lines, "shape", str(tmp_path / f"s{closed}"), closed)
+        told = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / f"s{closed}")).collect()]
+        assert {t["properties"]["id"]: t["geometry"]["coordinates"] for t in told} == want
+
+
+def test_points_without_a_pixel_are_grey(spark):
+    points = spark.createDataFrame([(1, -77.3, 38.8), (2, 10.0, 50.0)], "point long, lon double, lat double")
+    tx, ty = geo.tile(F.col("lon"), F.col("lat"), 12)
+    gx, gy = geo.tile(F.col("lon"), F.col("lat"), 20)
+    pixels = points.filter("point = 1").select(tx.alias("tx"), ty.alias("ty"), (gx % 256).alias("px"), (gy % 256).alias("py"), F.lit("112233").alias("colour"))
+    assert {tuple(r) for r in feeds.sampled(points, pixels, 12).collect()} == {(1, "112233"), (2, "8c8c8c")}

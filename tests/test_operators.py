@@ -337,3 +337,14 @@ def test_a_sweep_can_be_cancelled(spark):
         stop.set()
         thread.join()
     assert assign.sweep_together(edges, trips, [0], 2, tag="to be cancelled").count() == 2
+
+
+def test_skim_in_both_forms(spark, monkeypatch):
+    """Trees in tasks and labels by joins give the same costs; zones at one node, at an unknown one and out of reach are told apart."""
+    edges = spark.createDataFrame([(0, 1, 2, 5.0), (1, 2, 3, 1.0), (2, 1, 3, 7.0), (3, 3, 1, 2.0), (4, 9, 1, 1.0)], "edge long, src long, dst long, cost double")
+    gates = spark.createDataFrame([(10, 1), (11, 3), (12, 9), (13, 3), (14, 77)], "zone long, node long")
+    key = lambda rows: {(r["from_zone"], r["to_zone"]): r["cost"] for r in rows.collect()}
+    near = key(paths.skim(edges, gates))
+    assert near[10, 11] == near[10, 13] == 6.0 and near[12, 10] == 1.0 and near[11, 13] == 0.0 and (10, 12) not in near and near[14, 14] == 0.0
+    monkeypatch.setattr(paths, "TOPOLOGY_EDGES", 1)
+    assert key(paths.skim(edges, gates)) == near
