@@ -34,7 +34,7 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog fieldset footer form head iframe input label legend math menu meter nav noembed noframes noscript "
+    "aside audio button canvas datalist dialog fieldset footer form head iframe input label legend menu meter nav noembed noframes noscript "
     "object optgroup option output progress rp rt script search select style svg template textarea title video".split()
 )
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -48,7 +48,7 @@ SCOPES = frozenset("ul ol dl table article aside main section nav body".split())
 NEVER = frozenset(
     "ad ads advert adverts advertisement advertising advertorial banner comment comments commentlist consent cookie cookies discussion disqus gdpr "
     "modal newsletter notice notices outbrain overlay popup promo promos promotion promotions recommended related reply respond share sharing "
-    "sharebar social sponsor sponsored subscribe subscription taboola teaser teasers".split()
+    "sharebar social sponsor sponsored subscribe subscription taboola".split()
 )
 LAYOUT = frozenset("aside breadcrumb breadcrumbs footer header masthead menu nav navbar navigation pager pagination search sidebar sidenav toolbar topbar".split())
 #: Class names that begin so say what surrounds the element and not what it is; those with such a part name an article's own header.
