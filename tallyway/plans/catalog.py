@@ -445,7 +445,7 @@ def isochrone_walk(t: Town) -> DataFrame:
     return rounded(transit.isochrone(_walks(t), None, _starts(t), 3600.0), 3)
 
 
-@query()
+@query(oracle.ridden(3600.0) + " SELECT origin, node, round(cost,3) AS cost FROM reach", "starts", "walks", "calls")
 def isochrone_transit(t: Town) -> DataFrame:
     return rounded(transit.isochrone(_walks(t), _calls(t), _starts(t), 3600.0), 3)
 
@@ -455,7 +455,7 @@ def reach_bands(t: Town) -> DataFrame:
     return transit.bands(transit.isochrone(_walks(t), _calls(t), _starts(t), 3600.0), t.nodes)
 
 
-@query()
+@query(oracle.ridden(3600.0) + f" SELECT origin, round(sum(trips)/{model.TRIPS_PER_CAPITA}::DOUBLE,4) AS people, count(*) AS zones FROM reach r JOIN homes h ON h.node=r.node GROUP BY origin", "starts", "walks", "calls", "homes")
 def reach_population(t: Town) -> DataFrame:
     homes = t.table("customer").join(t.table("orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_custkey").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("trips"))
     return rounded(transit.reached_people(transit.isochrone(_walks(t), _calls(t), _starts(t), 3600.0), homes), 4)

@@ -64,8 +64,10 @@ RELATIONS = {
     "past": "SELECT p.lon, p.lat, e.edge, (a_lon-lon)*cos(radians(lat))*111320.0::DOUBLE AS ax, (a_lat-lat)*111320.0::DOUBLE AS ay, (b_lon-a_lon)*cos(radians(lat))*111320.0::DOUBLE AS dx, (b_lat-a_lat)*111320.0::DOUBLE AS dy FROM places p, edges e",
     "walks": f"SELECT src, dst, len_m/{model.WALK_MPS}::DOUBLE AS c FROM edges",
     "asked": "SELECT s_suppkey AS origin, -77.54::DOUBLE+0.5::DOUBLE*(s_suppkey*37%(side*side)%side)/(side-1) AS lon, 38.6::DOUBLE+0.46::DOUBLE*(s_suppkey*37%(side*side)//side)/(side-1) AS lat FROM supplier, side WHERE s_suppkey%50=0",
-    "starts": f"SELECT a.origin, arg_min(n.node, (round({distance('a.lon', 'a.lat', 'n.lon', 'n.lat')},6), n.node)) AS node FROM asked a, nodes n GROUP BY a.origin",
-    "gates": f"SELECT z.zone AS origin, arg_min(n.node, (round({distance('z.lon', 'z.lat', 'n.lon', 'n.lat')},6), n.node)) AS node FROM zones z, nodes n GROUP BY z.zone",
+    "starts": f"SELECT a.origin, arg_min(n.node, (round({distance('a.lon', 'a.lat', 'n.lon', 'n.lat')},6), n.node)) AS node, 0.0::DOUBLE AS cost FROM asked a, nodes n GROUP BY a.origin",
+    "gates": f"SELECT z.zone AS origin, arg_min(n.node, (round({distance('z.lon', 'z.lat', 'n.lon', 'n.lat')},6), n.node)) AS node, 0.0::DOUBLE AS cost FROM zones z, nodes n GROUP BY z.zone",
+    "calls": "SELECT n.iy//6 AS pattern, CAST(ix//3 AS INT) AS seq, node, least(h.headway,1800)/2 AS wait_s, (ix//3)*60.0::DOUBLE AS along_s FROM nodes n JOIN (SELECT pattern, 3600.0::DOUBLE*24/count(*) AS headway FROM departures GROUP BY pattern) h ON h.pattern=n.iy//6 WHERE iy%6=0 AND ix%3=0",
+    "homes": "SELECT c_custkey AS node, count(*) AS trips FROM customer JOIN orders ON c_custkey=o_custkey GROUP BY 1",
     "beside": "SELECT *, CASE WHEN dx*dx+dy*dy>0 THEN least(greatest(-(ax*dx+ay*dy)/(dx*dx+dy*dy),0.0::DOUBLE),1.0::DOUBLE) ELSE 0.0::DOUBLE END AS t FROM past",
     "crashed": "SELECT c.crash_id, c.severity, s.edge FROM crashes c JOIN (SELECT lon, lat, arg_min(edge, (round(m,6), edge)) AS edge FROM (SELECT lon, lat, edge, sqrt(pow(ax+t*dx,2)+pow(ay+t*dy,2)) AS m FROM beside) WHERE m<=120.0::DOUBLE GROUP BY lon, lat) s ON s.lon=c.lon AND s.lat=c.lat",
     "apart": "SELECT s.station_id, s.aadt, e.edge, (a_lon-lon)*cos(radians(lat))*111320.0::DOUBLE AS ax, (a_lat-lat)*111320.0::DOUBLE AS ay, (b_lon-a_lon)*cos(radians(lat))*111320.0::DOUBLE AS dx, (b_lat-a_lat)*111320.0::DOUBLE AS dy FROM stations s, edges e",
@@ -74,7 +76,7 @@ RELATIONS = {
 }
 
 NEEDS = {
-    "walks": ["edges"], "asked": ["side"], "starts": ["asked", "nodes"], "gates": ["zones", "nodes"],
+    "walks": ["edges"], "calls": ["nodes", "departures"], "asked": ["side"], "starts": ["asked", "nodes"], "gates": ["zones", "nodes"],
     "masses": ["zones"], "pulls": ["masses"], "halved": ["od"], "nodes": ["side"], "edges": ["nodes"], "network": ["edges", "classes"], "chunked": ["nodes"], "placed": ["edges", "chunked"],
     "told": ["stop_times"], "patterns": ["stop_times"], "hops": ["stop_times"], "edits": ["side"], "folded": ["edits"], "additions": ["side"], "places": ["crashes"], "past": ["places", "edges"], "beside": ["past"], "crashed": ["beside"], "overlay": ["network", "folded"], "daily": ["hourly", "hours"], "apart": ["stations", "edges"], "along": ["apart"], "snapped": ["along"],
 }
@@ -99,8 +101,20 @@ def crash_cell() -> tuple[str, str]:
     return cell("lon", "lat", CRASHES)
 
 
-def relaxed(starts: str, arcs: str, within: str = "true") -> str:
-    """Labels (origin, node, cost) relaxed from ``starts`` over ``arcs(src, dst, c)``, as a recursive relation called reach that keeps a row per key."""
-    return f""", reach(origin, node, cost) USING KEY (origin, node) AS (SELECT origin, node, 0.0::DOUBLE FROM {starts} UNION
-        SELECT x.origin, x.dst, min(x.c) FROM (SELECT i.origin, w.dst, i.cost+w.c AS c FROM reach i JOIN {arcs} w ON w.src=i.node) x
-        LEFT JOIN recurring.reach r ON r.origin=x.origin AND r.node=x.dst WHERE {within} AND (r.cost IS NULL OR x.c<r.cost) GROUP BY x.origin, x.dst)"""
+def relaxed(starts: str, arcs: str, within: str = "true", name: str = "reach") -> str:
+    """Labels (origin, node, cost) relaxed from ``starts`` over ``arcs(src, dst, c)``, as a recursive relation that keeps a row per key."""
+    return f""", {name}(origin, node, cost) USING KEY (origin, node) AS (SELECT origin, node, cost FROM {starts} UNION
+        SELECT x.origin, x.dst, min(x.c) FROM (SELECT i.origin, w.dst, i.cost+w.c AS c FROM {name} i JOIN {arcs} w ON w.src=i.node) x
+        LEFT JOIN recurring.{name} r ON r.origin=x.origin AND r.node=x.dst WHERE {within} AND (r.cost IS NULL OR x.c<r.cost) GROUP BY x.origin, x.dst)"""
+
+
+def ridden(budget: float, rounds: int = model.BOARDINGS) -> str:
+    """Labels by walking and rides over ``calls``, each round written out; the last is reach. For patterns that share no stop and call at none twice, so that
+    rides don't chain within a round."""
+    parts = [relaxed("starts", "walks", f"x.c<={budget}", "walk0")]
+    for k in range(rounds):
+        parts.append(f""", ride{k} AS (SELECT l.origin, b.node, min(l.cost+a.wait_s+b.along_s-a.along_s) AS cost FROM walk{k} l JOIN calls a ON a.node=l.node JOIN calls b ON b.pattern=a.pattern AND b.seq>a.seq
+            WHERE l.cost+a.wait_s+b.along_s-a.along_s<={budget} GROUP BY 1, 2),
+            both{k} AS (SELECT origin, node, min(cost) AS cost FROM (SELECT * FROM walk{k} UNION ALL SELECT * FROM ride{k}) GROUP BY 1, 2)""")
+        parts.append(relaxed(f"both{k}", "walks", f"x.c<={budget}", f"walk{k + 1}" if k + 1 < rounds else "reach"))
+    return "".join(parts)
