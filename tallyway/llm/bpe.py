@@ -9,6 +9,8 @@ of another kind.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -148,6 +150,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Drops the worker's encoders and gives their memory back, for tasks of another kind that Spark runs on the same worker."""
+    if not _encoders:
+        return
+    _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim is not None:
+        trim(0)
+
+
 def encoded(texts: pa.Array | Sequence[str | None], path: str, end: int) -> Iterator[np.ndarray]:
     """The ids of each text (null: empty) with ``end`` after them, in order."""
     of = encoder(path)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyway.llm import bpe
 from tallyway.llm.components import components
 from tallyway.llm.tables import cut, fresh, let, small
 from tallyway.llm.text import window_hashes, word_hashes, words
@@ -116,6 +117,7 @@ def with_bands(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.release()
         for batch in batches:
             elements, given = batch.column("elements"), batch.column("weights")
             sizes = np.diff(elements.offsets.to_numpy())

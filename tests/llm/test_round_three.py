@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from tallyway.llm import align, ann, html_text, mixing, spelling, warc
+from tallyway.llm import align, ann, bpe, html_text, mixing, spelling, warc
 from tallyway.llm.tables import load
 
 FOLDER = "/root/testdata/sf0.001"
@@ -383,3 +383,13 @@ def test_skippable_frames_between_records(monkeypatch):
         assert [len(r.payload) for r in warc.records(io.BytesIO(data))] == [0, 1, 2, 3]
         with pytest.raises(ValueError):
             list(warc.records(io.BytesIO(data[:-1])))
+
+
+def test_encoders_are_released():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    before = [x.tolist() for x in bpe.encoded(["some words", None, "some other words"], path, 2)]
+    bpe.release()
+    assert not bpe._encoders
+    assert [x.tolist() for x in bpe.encoded(["some words", None, "some other words"], path, 2)] == before
+    bpe.release()
+    bpe.release()
