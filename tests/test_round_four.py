@@ -3,6 +3,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tallyway.operators import blocks, paths, transit
@@ -62,3 +64,22 @@ def test_rides_go_on_from_block_to_block(spark, monkeypatch):
     calls = spark.createDataFrame([(p, k, (17 * p + 29 * k) % 120, 4.0, 3.0 * k) for p in range(4) for k in range(9)], "pattern long, seq int, node long, wait_s double, along_s double")
     want = sorted(tuple(r) for r in transit.isochrone(edges, calls, starts, 60.0).select("origin", "node", "cost").collect())
     assert sorted(tuple(r) for r in transit.isochrone(edges, calls, starts, 60.0, nodes=nodes).collect()) == want
+
+
+@pytest.mark.parametrize("free", [False, True])
+def test_trees_by_arrays_are_those_by_a_heap(free):
+    """With ties, and with edges that take no time."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        edges = pd.DataFrame({"edge": np.arange(120), "src": rng.integers(0, 40, 120), "dst": rng.integers(0, 40, 120)})
+        topology, cost = paths.Topology(edges), rng.integers(0 if free else 1, 5, 120).astype(float)
+        one, other = paths.tree(topology, cost, 0), paths.heap_tree(topology, cost, 0)
+        for a, b in zip(one, other, strict=True):
+            assert a.tolist() == b.tolist()
+
+
+def test_trees_take_no_step_of_python_per_edge(monkeypatch):
+    monkeypatch.setattr(paths, "heap_tree", None)
+    k = np.arange(199)
+    topology = paths.Topology(pd.DataFrame({"edge": k, "src": k, "dst": k + 1}))
+    assert paths.loaded(topology, np.ones(199), pd.DataFrame({"origin": [0, 0], "dest": [199, 99], "trips": [2.0, 3.0]})).tolist() == [5.0] * 99 + [2.0] * 100
