@@ -72,10 +72,15 @@ def by_severity(crashes: DataFrame) -> DataFrame:
 
 
 def modelled_daily(hourly: DataFrame, hours: DataFrame) -> DataFrame:
-    """Daily volume per edge of ``hourly(edge, hour, volume)``: the sum, or a single hour over its share of the day."""
-    rows = hourly.join(F.broadcast(hours.select("hour", "share")), "hour").groupBy("edge").agg(F.countDistinct("hour").alias("hours_present"), F.sum("volume").alias("v"), F.max("share").alias("share"))
+    """Daily volume per edge of ``hourly(edge, hour, volume)``: the sum, or a single hour over its share of the day.
+
+    The hours that are there are bits of a number, so an edge is one row of fixed width in one aggregate. Hours are 0 to 63.
+    """
+    rows = hourly.join(F.broadcast(hours.select("hour", "share")), "hour")
+    bit = F.expr("shiftleft(1L, CAST(hour AS INT))")
+    per = rows.groupBy("edge").agg(F.bit_count(F.bit_or(bit)).cast("bigint").alias("hours_present"), F.sum("volume").alias("v"), F.max("share").alias("share"))
     scaled = F.when(F.col("hours_present") == 1, F.col("v") / F.greatest(F.col("share"), F.lit(1.1920929e-07))).otherwise(F.col("v"))
-    return rows.select("edge", "hours_present", scaled.alias("modelled_daily"))
+    return per.select("edge", "hours_present", scaled.alias("modelled_daily"))
 
 
 def calibration(stations: DataFrame, daily: DataFrame) -> DataFrame:
