@@ -6,8 +6,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tallyway.operators import blocks, paths, transit
+from tallyway.operators import blocks, documents, feeds, paths, snap, transit
 from tallyway.plans import catalog
 
 SMALL = "/root/testdata/sf0.01"
@@ -83,3 +84,46 @@ def test_trees_take_no_step_of_python_per_edge(monkeypatch):
     k = np.arange(199)
     topology = paths.Topology(pd.DataFrame({"edge": k, "src": k, "dst": k + 1}))
     assert paths.loaded(topology, np.ones(199), pd.DataFrame({"origin": [0, 0], "dest": [199, 99], "trips": [2.0, 3.0]})).tolist() == [5.0] * 99 + [2.0] * 100
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapping_in_growing_radii_finds_the_nearest(spark):
+    """Targets are crowded, so points look within a small radius first; some points find theirs in wider ones only, some none."""
+    rng = random.Random(2)
+    place = lambda: (-77.3 + rng.random() * 0.02, 38.8 + rng.random() * 0.02)
+    nodes = spark.createDataFrame([(k, *place()) for k in range(900)], "node long, lon double, lat double")
+    points = spark.createDataFrame([(k, *place()) for k in range(40)] + [(90, -77.3025, 38.81), (91, -77.305, 38.81), (92, -77.0, 38.0), (93, None, 38.81)], "point long, lon double, lat double")
+    lon, lat = F.col("lon"), F.col("lat")
+    assert len(snap.radii(nodes, 400.0, lon, lat, lon, lat)) > 2
+    far = points.join(nodes.select("node", F.col("lon").alias("x"), F.col("lat").alias("y"))).withColumn("m", snap.geo.equirect_m(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))).filter("m <= 400")
+    want = {r["point"]: r["b"]["node"] for r in far.groupBy("point").agg(F.min(F.struct("m", "node")).alias("b")).collect()}
+    got = {r["point"]: r["node"] for r in snap.to_nodes(points, nodes, 400.0).collect()}
+    assert got == {k: want.get(k) for k in [*range(40), 90, 91, 92, 93]} and got[90] is not None and got[92] is None
+
+
+def test_points_that_look_at_few_targets_are_not_shuffled(spark):
+    few = spark.createDataFrame([(2, 0.0, 0.0), (1, 0.0, 0.0)], "target long, lon double, lat double")
+    near = snap.to_few(spark.createDataFrame([(7, 0.0, 1.0)], "point long, lon double, lat double"), few)
+    assert [r["target"] for r in near.collect()] == [1] and "hashpartitioning" not in plan_of(near)
+
+
+def test_folded_hops_join_nothing(spark):
+    rows = spark.createDataFrame([(1, 1, 3, 0.0), (1, 2, 0, 10.0), (1, 3, 3, 25.0), (1, 4, 1, 20.0), (2, 1, 0, 5.0)], "trip long, seq int, stop int, arrive_s double")
+    out = transit.folded_hops(rows, F.col("stop") != 3)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 15.0), (1, 2, 0.0), (2, 1, 0.0)] and "Join" not in plan_of(out)
+
+
+def test_documents_are_decoded_in_their_row(spark):
+    codes = documents.encoded(spark.sql("SELECT 1L AS doc, 1L AS seq, named_struct('type', 'CloseEdge', 'edge', 5L) AS edit").select("doc", "seq", F.struct("edit.type", "edit.edge", F.lit(0).alias("from"), F.lit(0).alias("to"), F.lit("").alias("route_id")).alias("edit")))
+    out = documents.decoded(codes.select("doc", "code"))
+    assert [(r["doc"], r["edit"]["edge"]) for r in out.collect()] == [(1, 5)] and "Join" not in plan_of(documents.decoded(spark.createDataFrame([(1, "x")], "doc long, code string")))
+
+
+def test_daily_volumes_take_one_aggregate_by_edge(spark):
+    rows = spark.createDataFrame([(0, 1, 2.0), (23, 1, 3.0), (23, 1, 1.0), (5, 2, 4.0)], "hour int, edge long, volume double")
+    hours = spark.createDataFrame([(h, 0.5) for h in range(24)], "hour int, share double")
+    out = feeds.modelled_daily(rows, hours)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 6.0), (2, 1, 8.0)] and plan_of(feeds.modelled_daily(rows, hours)).count("hashpartitioning") == 1
