@@ -127,3 +127,13 @@ def test_daily_volumes_take_one_aggregate_by_edge(spark):
     hours = spark.createDataFrame([(h, 0.5) for h in range(24)], "hour int, share double")
     out = feeds.modelled_daily(rows, hours)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 6.0), (2, 1, 8.0)] and plan_of(feeds.modelled_daily(rows, hours)).count("hashpartitioning") == 1
+
+
+def test_a_skim_of_placed_nodes_keeps_the_network_from_the_driver(spark, monkeypatch):
+    nodes, edges, _ = scattered(spark, 8)
+    edges = edges.withColumn("edge", F.monotonically_increasing_id())
+    gates = spark.createDataFrame([(1, 0), (2, 7), (3, 500)], "zone long, node long")
+    want = sorted(tuple(r) for r in paths.skim(edges, gates).collect())
+    monkeypatch.setattr(blocks, "BLOCK", 15)
+    monkeypatch.setattr(paths, "Shared", None)
+    assert sorted(tuple(r) for r in paths.skim(edges, gates, nodes).collect()) == want and len(want) >= 5
