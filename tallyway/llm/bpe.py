@@ -16,7 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain, repeat
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,22 @@ CHARS, ROWS = 500_000, 200
 ODD = re.compile("[\x1c-\x1f]")
 #: Before a text that isn't cut, where words are told apart; texts with this letter are never cut.
 WHOLE = "\x1f"
-# Fixed value of the byte-level tokenizer: its pattern, whole, and as the standard library spells it for plain letters.
+# Fixed value of the byte-level tokenizer: its pattern, whole.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Outside ASCII and the Latin letters, where both patterns cut alike.
-BEYOND = re.compile("[^\x00-\x1b\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+#: The Latin letters beyond ASCII.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: The same pattern for texts of ASCII and LATIN alone: sets of characters are spelt out and the commonest words come first; no two ways begin alike.
+PLAIN_WORDS = re.compile(rf" ?[A-Za-z{LATIN}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^A-Za-z0-9\t-\r {LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Outside ASCII and LATIN, where both patterns cut alike; all of ODD is outside.
+BEYOND = re.compile(f"[^\x00-\x1b\x20-\x7e{LATIN}]")
+
+
+class Numbers(dict):
+    """The words' numbers; a new word gets the next one when it is asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,9 +73,8 @@ class Encoder:
         )
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.space = byte_letters()[ord(" ")]
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added)) if added else None
-        self.known: dict[str, int] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = Numbers()
         self.held = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
@@ -80,20 +90,21 @@ class Encoder:
         self.start, self.size, self.hits, self.used = stop - size, size, self.hits[keep] // 2, len(self.ids)
         words = list(self.known)  # in the order of their numbers
         words = [words[i] for i in keep.tolist()]
-        self.known = dict(zip(words, range(len(words)), strict=True))
+        self.known = Numbers(zip(words, range(len(words)), strict=True))
         self.held = sum(map(len, words))
         if self.held > LETTERS // 2:
-            self.known, self.held, self.used = {}, 0, 0
+            self.known, self.held, self.used = Numbers(), 0, 0
 
     def whole(self, text: str) -> bool:
         """Whether the library has to see the text as it is."""
-        return bool(not self.cuts or ODD.search(text) or (self.special and self.special.search(text)))
+        return bool(not self.cuts or ODD.search(text) or any(t in text for t in self.special))
 
     def pieces(self, text: str) -> Sequence[str]:
         """The words of the text; one that isn't cut has a mark before it, which no word has."""
-        if self.whole(text):
+        plain = self.cuts and not BEYOND.search(text)
+        if any(t in text for t in self.special) if plain else self.whole(text):
             return (WHOLE + text,) if text else ()
-        return WORDS.findall(text) if BEYOND.search(text) else PLAIN_WORDS.findall(text)
+        return PLAIN_WORDS.findall(text) if plain else WORDS.findall(text)
 
     def spell(self, piece: str) -> list[int]:
         if piece[0] == WHOLE:
@@ -102,11 +113,12 @@ class Encoder:
         letters = piece.replace(" ", self.space) if plain else piece.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(letters)]
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, n: int) -> None:
+        """Spells the words that got a number from ``n`` on."""
+        new, m = list(islice(self.known, n, None)), len(self.known)
         made = [self.spell(w) for w in new]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         flat = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
-        n, m = len(self.known), len(self.known) + len(new)
         while m > len(self.start):
             more = np.zeros(max(len(self.start), 1 << 14), np.int64)
             self.start, self.size, self.hits = (np.concatenate([x, more]) for x in (self.start, self.size, self.hits))
@@ -116,7 +128,6 @@ class Encoder:
         self.start[n:m], self.size[n:m], self.hits[n:m] = self.used + np.cumsum(sizes) - sizes, sizes, 0
         self.used += len(flat)
         self.held += sum(map(len, new))
-        self.known.update(zip(new, range(n, m), strict=True))
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
@@ -124,12 +135,10 @@ class Encoder:
             self.forget()
         cut = [self.pieces(t) for t in texts]
         words = list(chain.from_iterable(cut))
-        where = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(where < 0)
-        if len(missing):
-            unknown = [words[i] for i in missing.tolist()]
-            self.learn(list(dict.fromkeys(unknown)))
-            where[missing] = list(map(self.known.__getitem__, unknown))
+        n = len(self.known)
+        where = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > n:
+            self.learn(n)
         self.hits[: len(self.known)] += np.bincount(where, minlength=len(self.known))
         sizes = self.size[where]
         ends = np.cumsum(sizes)

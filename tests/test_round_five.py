@@ -41,3 +41,19 @@ def test_the_table_function_copies_no_walk_per_origin(spark, monkeypatch):
     monkeypatch.setattr(table_function, "reach_rows", None)
     got = {(r[0], r[1]): r[2] for r in table_function.isochrone(starts, nodes, walks, None, 300.0).collect()}
     assert got == pytest.approx({(r[0], r[1]): r[2] for r in transit.isochrone(walks, None, starts, 300.0).collect()}) and seen == [walks.count()]
+
+
+def test_words_get_numbers_as_they_are_met():
+    """One lookup a word: new ones are numbered by it, and texts of Latin letters are cut by sets of characters."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tallyway.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng, plain = random.Random(2), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x250)] + ["'s", "'ll", "'re", "  ", "　", "中", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(2000)] + ["it's  we'll 'tis 12 a1_b\t\n c", "", "'", " "]
+    assert [x.tolist() for x in bpe.encoded(texts, path, 0)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    known = bpe.Numbers(a=0)
+    assert [known[w] for w in ("b", "a", "b", "c")] == [1, 0, 1, 2]
