@@ -57,3 +57,20 @@ def test_words_get_numbers_as_they_are_met():
     assert [x.tolist() for x in bpe.encoded(texts, path, 0)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
     known = bpe.Numbers(a=0)
     assert [known[w] for w in ("b", "a", "b", "c")] == [1, 0, 1, 2]
+
+
+def test_loads_go_block_by_block(spark, monkeypatch):
+    """Beyond the driver's bound, neither the topology's vectors nor joins over all labels are used, and the flows are the same."""
+    edges, nodes = town(spark, 8)
+    roads = edges.select("edge", "src", "dst", F.lit(500.0).alias("len_m"), F.col("cost").alias("free_s"), F.lit(40.0).alias("capacity_vph"), F.lit(True).alias("open"))
+    trips = spark.createDataFrame([(0, 63, 30.0), (0, 37, 20.0), (63, 5, 10.0), (28, 56, 5.0), (28, 999, 1.0)], "origin long, dest long, trips double")
+    want, near = {r[0]: r[1] for r in assign.loads(roads, trips).collect()}, assign.equilibrium(roads, trips, iterations=1)
+    monkeypatch.setattr(assign, "VECTOR_EDGES", 10)
+    monkeypatch.setattr(assign, "BLOCK", 12)
+    monkeypatch.setattr(paths, "Shared", None)
+    monkeypatch.setattr(paths, "tree_loads", None)
+    assert {r[0]: r[1] for r in assign.loads(roads, trips, nodes).collect()} == pytest.approx(want) and len(want) > 20
+    assert assign.loads(roads, trips.limit(0), nodes).count() == 0
+    far = assign.equilibrium(roads, trips, iterations=1, nodes=nodes)
+    assert far.gap == pytest.approx(near.gap) and far.gap > 0
+    assert {r["edge"]: r["volume"] for r in far.edges.collect()} == pytest.approx(dict(zip(near.edges["edge"], near.edges["volume"], strict=True)))
