@@ -32,7 +32,9 @@ LENGTH = 1024
 END = 2
 #: Pieces that one island packs, on average.
 SHARD = 12_000
-ISLANDS, EPOCHS, CHILDREN, POPULATION = 3, 2, 3, 4
+ISLANDS, EPOCHS, POPULATION = 3, 4, 4
+#: An island breeds on in an epoch until so many children after one another didn't join its population, at most GENERATIONS.
+PATIENCE, GENERATIONS = 16, 200
 #: Sequences of a shard filled less than this are packed again with those of other shards.
 WELL_FILLED = 0.97
 ROUNDS = 2
@@ -108,19 +110,24 @@ def founders(lengths: np.ndarray, seed: int, length: int) -> list[np.ndarray]:
 
 
 def evolved(lengths: np.ndarray, population: list[np.ndarray], seed: int, length: int) -> list[np.ndarray]:
-    """A few children; each replaces the worst if it is better. Stops at the least number of sequences there can be."""
+    """Breeds until nothing gets better any more; each child replaces the worst if it is better. Stops at the least number of sequences there can be."""
     rng = random.Random(seed)
-    ranked = sorted(population, key=lambda b: fitness(lengths, b, length), reverse=True)
+    ranked = sorted(((fitness(lengths, b, length), k, b) for k, b in enumerate(population)), key=lambda x: x[0], reverse=True)
     least = -(-int(lengths.sum()) // length)
-    for _ in range(CHILDREN):
-        if int(ranked[0].max()) + 1 <= least:
+    failed = 0
+    for made in range(GENERATIONS):
+        if -ranked[0][0][0] <= least or failed == PATIENCE:
             break
         a, b = rng.sample(range(len(ranked)), 2) if len(ranked) > 1 else (0, 0)
-        child = crossed(lengths, ranked[min(a, b)], ranked[max(a, b)], length, rng)
-        if fitness(lengths, child, length) > fitness(lengths, ranked[-1], length):
-            ranked[-1] = child
-            ranked.sort(key=lambda x: fitness(lengths, x, length), reverse=True)
-    return ranked
+        child = crossed(lengths, ranked[min(a, b)][2], ranked[max(a, b)][2], length, rng)
+        worth = fitness(lengths, child, length)
+        failed += 1
+        # One that is worth what another is would only take its place.
+        if worth > ranked[-1][0] and all(worth != x[0] for x in ranked):
+            ranked[-1] = (worth, len(population) + made, child)
+            ranked.sort(key=lambda x: x[0], reverse=True)
+            failed = 0
+    return [b for _, _, b in ranked]
 
 
 STATE = "shard long, island int, rids array<long>, lengths array<int>, population array<array<int>>"

@@ -74,3 +74,22 @@ def test_loads_go_block_by_block(spark, monkeypatch):
     far = assign.equilibrium(roads, trips, iterations=1, nodes=nodes)
     assert far.gap == pytest.approx(near.gap) and far.gap > 0
     assert {r["edge"]: r["volume"] for r in far.edges.collect()} == pytest.approx(dict(zip(near.edges["edge"], near.edges["volume"], strict=True)))
+
+
+def test_islands_breed_while_it_helps(monkeypatch):
+    """Breeding goes on after three children, finds fewer sequences than best fit did, and ends when it can't help."""
+    import numpy as np
+
+    from tallyway.llm import packing
+
+    lengths = np.clip(np.random.default_rng(4).lognormal(5.5, 0.7, 12_000).astype(np.int64), 2, 1023)
+    made, crossed = [], packing.crossed
+    monkeypatch.setattr(packing, "crossed", lambda *a: made.append(1) or crossed(*a))
+    begun = packing.founders(lengths, 1, 1024)
+    bred = packing.evolved(lengths, begun, 7, 1024)
+    assert 16 <= len(made) <= packing.GENERATIONS
+    best = lambda group: max(packing.fitness(lengths, b, 1024) for b in group)
+    assert best(bred) > best(begun) and all(packing.loads_of(lengths, b).max() <= 1024 and b.min() == 0 for b in bred)
+    full = np.full(8, 512)
+    made.clear()
+    assert int(packing.evolved(full, packing.founders(full, 1, 1024), 7, 1024)[0].max()) == 3 and not made
