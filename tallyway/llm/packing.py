@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import random
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ WELL_FILLED = 0.97
 ROUNDS = 2
 
 
-def best_fit(lengths: list[int], order: list[int], room: list[tuple[int, int]], loads: list[int], bins: list[int], length: int) -> None:
+def best_fit(lengths: list[int], order: Iterable[int], room: list[tuple[int, int]], loads: list[int], bins: list[int], length: int) -> None:
     """Puts each piece of ``order`` into the fullest sequence it fits in, or a new one. room: sorted (free, sequence)."""
     for i in order:
         size = lengths[i]
@@ -77,27 +77,29 @@ def crossed(lengths: np.ndarray, one: np.ndarray, other: np.ndarray, length: int
     loads = loads_of(lengths, other)
     full = np.flatnonzero(loads >= WELL_FILLED * length)
     share = rng.uniform(0.05, 0.3)
-    taken = full[np.array([rng.random() < share for _ in full], bool)] if len(full) else full
-    moved = np.isin(other, taken)
+    taken = np.zeros(len(loads), bool)
+    taken[full] = [rng.random() < share for _ in range(len(full))]
+    moved = taken[other]
     own = loads_of(lengths, one)
     broken = np.zeros(len(own), bool)
     broken[one[moved]] = True
     emptiest = np.argsort(own, kind="stable")[: max(1, len(own) // 50)]
     broken[emptiest] = True
-    stays = ~broken[one] & ~moved
-    names, new = np.unique(one[stays], return_inverse=True)
+    stays = ~broken[one]  # one that holds a moved piece is broken
     bins = np.full(len(lengths), -1, np.int64)
-    bins[stays] = new
-    injected, place = np.unique(other[moved], return_inverse=True)
-    bins[moved] = len(names) + place
-    placed = bins >= 0
-    held = np.bincount(bins[placed], lengths[placed], len(names) + len(injected)).astype(np.int64).tolist()
-    room = sorted((length - x, b) for b, x in enumerate(held) if x < length)
-    left = np.flatnonzero(~placed)
-    order = left[np.argsort(-lengths[left], kind="stable")].tolist()
-    out = bins.tolist()
-    best_fit(lengths.tolist(), order, room, held, out, length)
-    return np.array(out)
+    bins[stays] = (np.cumsum(~broken) - 1)[one[stays]]
+    bins[moved] = (np.cumsum(taken) - 1)[other[moved]] + int((~broken).sum())
+    held = np.concatenate([own[~broken], loads[taken]])
+    free = length - held
+    open_ = np.argsort(free, kind="stable")
+    open_ = open_[free[open_] > 0]
+    room = list(zip(free[open_].tolist(), open_.tolist(), strict=True))
+    left = np.flatnonzero(bins < 0)
+    left = left[np.argsort(-lengths[left], kind="stable")]
+    places = [0] * len(left)
+    best_fit(lengths[left].tolist(), range(len(left)), room, held.tolist(), places, length)
+    bins[left] = places
+    return bins
 
 
 def founders(lengths: np.ndarray, seed: int, length: int) -> list[np.ndarray]:
@@ -136,6 +138,15 @@ STATE_ARROW = pa.schema(
 )
 
 
+def state_row(shard: int, island: int, rids: np.ndarray, lengths: np.ndarray, group: list[np.ndarray]) -> pa.RecordBatch:
+    """An island as a row of STATE; its lists are made of whole numpy arrays, as single numbers take most of an epoch's time."""
+    listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    bins = pa.array(np.concatenate(group).astype(np.int32))
+    packings = pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32) * len(lengths)), bins)
+    columns = [pa.array([shard], pa.int64()), pa.array([island], pa.int32()), listed(pa.array(rids)), listed(pa.array(lengths.astype(np.int32))), listed(packings)]
+    return pa.RecordBatch.from_arrays(columns, schema=STATE_ARROW)
+
+
 def breed(islands: DataFrame, epoch: int, length: int) -> DataFrame:
     """One epoch on every island: a row in, a row out. ``elite``, where not null, joins the population first."""
 
@@ -149,12 +160,11 @@ def breed(islands: DataFrame, epoch: int, length: int) -> DataFrame:
                 if epoch == 0:
                     group = founders(lengths, seed, length)
                 else:
-                    group = [np.array(x, np.int64) for x in get("population").as_py()]
+                    group = [*get("population").values.flatten().to_numpy().reshape(-1, len(lengths)).astype(np.int64)]
                     if get("elite").is_valid:
-                        group = [*group[: POPULATION - 1], np.array(get("elite").as_py(), np.int64)]
+                        group = [*group[: POPULATION - 1], get("elite").values.to_numpy().astype(np.int64)]
                 group = evolved(lengths, group, seed, length)
-                row = {"shard": shard, "island": island, "rids": get("rids").values.to_numpy(), "lengths": lengths.astype(np.int32), "population": [b.astype(np.int32) for b in group]}
-                yield pa.RecordBatch.from_pylist([row], STATE_ARROW)
+                yield state_row(shard, island, get("rids").values.to_numpy(), lengths, group)
 
     return islands.mapInArrow(run, STATE)
 
